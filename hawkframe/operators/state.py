@@ -36,53 +36,10 @@ def latest_per_event(df: DataFrame, key: str = "source_ip", ts: str = "timestamp
     )
 
 
-def _history(
-    df: DataFrame,
-    key: str,
-    windows: Mapping[str, int],
-    measures: dict[str, tuple[Column, Column]],
-    slice_us: int,
-) -> DataFrame:
-    """Sweep every event's entry and its exit from each window.
-
-    An event adds its values when it arrives and takes them back right after
-    `t + window`, so a running sum is the content of the window.  `measures`
-    maps a name to (value on arrival, value on exit); on exit rows `_win`
-    holds the window's name.
-    """
-    entries = F.array(
-        F.struct(F.col("_t").alias("at"), F.lit(0).alias("tie"), F.lit("").alias("win")),
-        *[
-            F.struct(
-                (F.col("_t") + seconds * US).alias("at"),
-                F.lit(1).alias("tie"),
-                F.lit(name).alias("win"),
-            )
-            for name, seconds in windows.items()
-        ],
-    )
-    needed = sorted({c for c in df.columns if c.startswith("_m_")})
-    steps = df.select(key, "event_id", *needed, F.explode(entries).alias("_e")).select(
-        key,
-        "event_id",
-        *needed,
-        F.col("_e.at").alias("_at"),
-        F.col("_e.tie").alias("_tie"),
-        F.col("_e.win").alias("_win"),
-    )
-    steps = steps.withColumn("_slice", slice_of(F.col("_at"), slice_us))
-    deltas = {
-        name: F.when(F.col("_tie") == 0, enter).otherwise(leave)
-        for name, (enter, leave) in measures.items()
-    }
-    swept = running_sums(steps, [key], "_slice", ["_at", "_tie", "event_id"], deltas)
-    return swept.filter("_tie = 0").select(
-        F.col(key), F.col("event_id"), F.col("_at").alias("_t"), *measures
-    )
-
-
-def _in_window(name: str, value: Column) -> Column:
-    return F.when(F.col("_win") == name, -value).otherwise(0)
+# Order of sweep rows at one moment: events by id; for one event, first the
+# values it brings into its own view, then the event itself.  What leaves a
+# window follows all events of that moment.
+_ENTER, _EVENT, _LEAVE = 0, 1, 2
 
 
 def conn_counts(
@@ -98,7 +55,7 @@ def conn_counts(
 
 def trailing(
     df: DataFrame,
-    windows: Mapping[str, int],
+    windows: Mapping[str, float],
     distinct: Mapping[str, Sequence[str]] | None = None,
     stats: Mapping[str, str] | None = None,
     columns: Mapping[str, str] | None = None,
@@ -109,6 +66,9 @@ def trailing(
 ) -> DataFrame:
     """Counts, exact distinct counts and moments over trailing windows, in one sweep.
 
+    An event adds its values when it arrives and takes them back right after
+    `t + window`, so a running sum is the content of the window.
+
     * `conn_count_<w>`: earlier events, the event itself excluded.
     * `distinct` maps an output prefix to the windows wanted, `columns` the
       prefix to its column: `<prefix>_<w>` counts values including the event.
@@ -118,60 +78,116 @@ def trailing(
       `<column>_stddev` (sample, 0 for one event) including the event.
     """
     distinct, stats, columns = distinct or {}, stats or {}, columns or {}
-    base = df.withColumn("_t", micros(df, ts))
-    narrow = [key, "event_id", "_t", *dict.fromkeys([*columns.values(), *stats])]
-    rows = base.select(*narrow)
-    measures: dict[str, tuple[Column, Column]] = {}
+    span = {w: round(s * US) for w, s in windows.items()}
+    t = F.col("_t")
+    base = df.select(
+        F.col(key).alias("_key"), "event_id", micros(df, ts).alias("_t"), *{*columns.values(), *stats}
+    )
+    moments = {
+        c: {
+            f"_n_{c}": F.lit(1),
+            f"_s1_{c}": F.col(c).cast("decimal(38,0)"),
+            f"_s2_{c}": F.col(c).cast("decimal(19,0)") * F.col(c).cast("decimal(19,0)"),
+        }
+        for c in stats
+    }
+    moves = F.array(
+        F.struct(t.alias("at"), F.lit(0).alias("tie"), F.lit(_EVENT).alias("cls"), F.lit("").alias("win")),
+        *[
+            F.struct(
+                (t + span[w]).alias("at"),
+                F.lit(1).alias("tie"),
+                F.lit(_LEAVE).alias("cls"),
+                F.lit(w).alias("win"),
+            )
+            for w in windows
+            if counts or w in stats.values()
+        ],
+    )
+    arrives = F.col("_e.cls") == _EVENT
+    deltas = {}
     if counts:
         for w in windows:
-            measures[f"conn_count_{w}"] = (F.lit(1), _in_window(w, F.lit(1)))
+            deltas[f"conn_count_{w}"] = F.when(arrives, 1).when(F.col("_e.win") == w, -1)
+    for c, w in stats.items():
+        for n, d in moments[c].items():
+            deltas[n] = F.when(arrives, d).when(F.col("_e.win") == w, -d)
+    place = [
+        "_key",
+        "event_id",
+        F.col("_e.at").alias("_at"),
+        F.col("_e.tie").alias("_tie"),
+        F.col("_e.cls").alias("_cls"),
+    ]
+    steps = base.select("*", F.explode(moves).alias("_e")).select(
+        *place, *[d.alias(n) for n, d in deltas.items()]
+    )
     for prefix, wanted in distinct.items():
-        rows = neighbour_times(rows, [key, columns[prefix]], "_t", "event_id", slice_us)
-        for w in wanted:
-            span = windows[w] * US
-            first = F.col("prev_t").isNull() | (F.col("_t") - F.col("prev_t") > span)
-            final = F.col("next_t").isNull() | (F.col("next_t") - F.col("_t") > span)
-            rows = rows.withColumn(f"_m_in_{prefix}_{w}", first.cast("int")).withColumn(
-                f"_m_out_{prefix}_{w}", final.cast("int")
-            )
-            measures[f"{prefix}_{w}"] = (
-                F.col(f"_m_in_{prefix}_{w}"),
-                _in_window(w, F.col(f"_m_out_{prefix}_{w}")),
-            )
-        rows = rows.drop("prev_t", "next_t")
-    for col, w in stats.items():
-        x = F.col(f"_m_{col}")
-        rows = rows.withColumn(f"_m_{col}", F.col(col).cast("decimal(19,0)"))
-        measures[f"_n_{col}"] = (F.lit(1), _in_window(w, F.lit(1)))
-        measures[f"_s1_{col}"] = (x, _in_window(w, x))
-        measures[f"_s2_{col}"] = (x * x, _in_window(w, x * x))
-    own = {f"{p}_{w}": f"_m_in_{p}_{w}" for p, ws in distinct.items() for w in ws}
-    swept = _history(rows, key, windows, measures, slice_us)
-    out = null_safe_join(base, swept.drop("_t"), [key, "event_id"])
-    if own:
-        flags = rows.select(key, "event_id", *own.values())
-        out = null_safe_join(out, flags, [key, "event_id"])
-    results = []
-    if counts:
-        results += [F.col(f"conn_count_{w}").cast("bigint").alias(f"conn_count_{w}") for w in windows]
-    results += [(F.col(n) + F.col(f)).cast("bigint").alias(n) for n, f in own.items()]
-    for col in stats:
-        n = F.col(f"_n_{col}") + 1
-        x = F.col(col).cast("decimal(19,0)")
-        s1 = (F.col(f"_s1_{col}") + x).cast("double")
-        s2 = F.col(f"_s2_{col}") + x * x
-        total = (F.col(f"_s1_{col}") + x).cast("decimal(38,0)")
+        col = columns[prefix]
+        uses = neighbour_times(
+            base.select("_key", col, "event_id", "_t"), ["_key", col], "_t", "event_id", slice_us
+        )
+        starts = {w: F.col("prev_t").isNull() | (t - F.col("prev_t") > span[w]) for w in wanted}
+        ends = {w: F.col("next_t").isNull() | (F.col("next_t") - t > span[w]) for w in wanted}
+        first = F.array(
+            F.struct(
+                F.col("_t").alias("at"),
+                F.lit(0).alias("tie"),
+                F.lit(_ENTER).alias("cls"),
+                *[F.when(starts[w], 1).alias(f"{prefix}_{w}") for w in wanted],
+            ),
+            *[
+                F.when(
+                    ends[w],
+                    F.struct(
+                        (t + span[w]).alias("at"),
+                        F.lit(1).alias("tie"),
+                        F.lit(_LEAVE).alias("cls"),
+                        *[
+                            F.lit(-1 if v == w else None).cast("int").alias(f"{prefix}_{v}")
+                            for v in wanted
+                        ],
+                    ),
+                )
+                for w in wanted
+            ],
+        )
+        edges = uses.select("_key", "event_id", F.explode(first).alias("_e")).filter("_e is not null")
+        steps = steps.unionByName(
+            edges.select(*place, *[F.col(f"_e.{prefix}_{w}").alias(f"{prefix}_{w}") for w in wanted]),
+            allowMissingColumns=True,
+        )
+    totals = [c for c in steps.columns if c not in ("_key", "event_id", "_at", "_tie", "_cls")]
+    steps = steps.withColumn("_slice", slice_of(F.col("_at"), slice_us))
+    swept = running_sums(
+        steps.withColumnsRenamed({c: f"_d_{c}" for c in totals}),
+        ["_key"],
+        "_slice",
+        ["_at", "_tie", "event_id", "_cls"],
+        {c: F.col(f"_d_{c}") for c in totals},
+    )
+    answers = swept.filter(F.col("_cls") == _EVENT).select(
+        F.col("_key").alias(key), "event_id", *_trailing_results(totals, stats)
+    )
+    return null_safe_join(df, answers, [key, "event_id"])
+
+
+def _trailing_results(totals: list[str], stats: Mapping[str, str]) -> list[Column]:
+    out = [F.col(c).cast("bigint").alias(c) for c in totals if not c.startswith("_")]
+    for c in stats:
+        n, s1, s2 = (F.col(f"{m}_{c}") + F.col(f"_d_{m}_{c}") for m in ("_n", "_s1", "_s2"))
+        total = s1.cast("decimal(38,0)")
         exact = F.try_subtract(
-            F.try_multiply(n.cast("decimal(12,0)"), s2), F.try_multiply(total, total)
+            F.try_multiply(n.cast("decimal(12,0)"), s2.cast("decimal(38,0)")),
+            F.try_multiply(total, total),
         ).cast("double")
-        spread = F.coalesce(exact, n * s2.cast("double") - s1 * s1)
-        results += [
-            (s1 / n).alias(f"{col}_mean"),
-            F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (n * (n - 1))))
-            .otherwise(0.0)
-            .alias(f"{col}_stddev"),
+        rough = n * s2.cast("double") - s1.cast("double") * s1.cast("double")
+        spread = F.greatest(F.coalesce(exact, rough), F.lit(0.0))
+        out += [
+            (s1.cast("double") / n).alias(f"{c}_mean"),
+            F.when(n > 1, F.sqrt(spread / (n * (n - 1)))).otherwise(0.0).alias(f"{c}_stddev"),
         ]
-    return out.select(*df.columns, *results)
+    return out
 
 
 def session_distinct(
