@@ -4,7 +4,7 @@ from importlib import import_module
 
 from hawkframe.catalog.registry import QUERIES, SQL
 
-MODULES = ["feature_queries"]
+MODULES = ["event_queries", "feature_queries", "alert_queries", "report_queries", "model_queries"]
 
 
 def _load() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hawkframe.functions.decisions import severity_rank
+from hawkframe.sources.parse import JSON_TIME
 from hawkframe.operators.sliced import US, micros, next_after, sessionize
 
 # Fixed texts and codes of the export rows.
@@ -229,7 +230,8 @@ def siem_envelope(
                 F.lit(sourcetype).alias("sourcetype"),
                 F.lit(index).alias("index"),
                 (micros(alerts, ts) / 1e6).alias("time"),
-            )
+            ),
+            JSON_TIME,
         ).alias("value"),
     )
 

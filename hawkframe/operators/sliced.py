@@ -249,16 +249,19 @@ def exact_quantiles(
     probs: dict[str, float],
     by: Sequence[str] = (),
     method: str = "inclusive",
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, any group size.
 
     `inclusive` takes position p*(n-1)+1, `exclusive` p*(n+1), as the standard
     library of Python names them.  The exclusive method interpolates from the
-    two outer values when the position falls outside 1..n.
+    two outer values when the position falls outside 1..n.  With `weight`, a
+    row stands for that many equal rows.
     """
     clean = df.filter(F.col(value).isNotNull())
-    ranks = ordered_counts(clean, value, by)
-    sizes = clean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    one = F.col(weight) if weight else F.lit(1)
+    ranks = ordered_counts(clean, value, by, {"n": one})
+    sizes = clean.groupBy(*by).agg(F.sum(one).cast("bigint").alias("_n"))
     if by:
         joined = null_safe_join(ranks, sizes, list(by))
     else:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hawkframe.sources.parse import partition_key, topic
+from hawkframe.sources.parse import JSON_TIME, partition_key, topic
 
 
 def read_events(
@@ -78,7 +78,7 @@ def kafka_rows(df: DataFrame) -> DataFrame:
     return df.select(
         topic(event_type).alias("topic"),
         partition_key(col("source_ip"), col("hostname"), fallback.cast("string")).alias("key"),
-        F.to_json(F.struct(*df.columns)).alias("value"),
+        F.to_json(F.struct(*df.columns), JSON_TIME).alias("value"),
     )
 
 

@@ -11,6 +11,11 @@ from hawkframe.functions.text import MD5_PATTERN, SHA256_PATTERN, is_valid_ipv4
 from hawkframe.schemas import EVENT_TYPES, PROTOCOLS, SCHEMAS, SEVERITIES, TOPICS
 
 UNKNOWN_TYPE = "unknown event_type"
+# JSON text keeps the microseconds of timestamps.
+JSON_TIME = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 BAD_JSON = "malformed json"
 
 
@@ -27,7 +32,10 @@ def decode(raw: DataFrame, value: str = "value") -> DataFrame:
         ).alias(name)
         for name, schema in SCHEMAS.items()
     ]
-    broken = F.try_parse_json(F.col(value)).isNull()
+    # The JSON functions stop after the first value, so text behind it is
+    # noticed by the missing closing brace.
+    closed = F.endswith(F.rtrim(F.col(value)), F.lit("}"))
+    broken = ~F.coalesce(closed, F.lit(False)) | F.try_parse_json(F.col(value)).isNull()
     reject = (
         F.when(broken, BAD_JSON)
         .when(kind.isNull() | ~kind.isin(*EVENT_TYPES), UNKNOWN_TYPE)
