@@ -12,9 +12,9 @@ from hawkframe.catalog.tables import ALERT_SQL, NET_SQL, alerts, network, table
 from hawkframe.functions import decisions, text
 from hawkframe.operators import sampling
 from hawkframe.operators.rules import Rule, matched_rules, technique_count
-from hawkframe.session import ensure_checkpoint_dir
+from hawkframe.session import durable, ensure_checkpoint_dir
 from hawkframe.sources import connectors, parse
-from hawkframe.sources.parse import events_of, decode, partition_key, topic, union_events, validate
+from hawkframe.sources.parse import decode, partition_key, topic, union_events, validate_decoded
 
 # Raw JSON lines: network events from `events`, application logs from
 # `conversations`, endpoint events from `orders`, intel from `part`, and some
@@ -88,7 +88,8 @@ def raw_intel(spark, sf):
 
 def raw_lines(spark, sf):
     parts = [f(spark, sf) for f in (raw_network, raw_logs, raw_endpoint, raw_intel)]
-    return union_events(parts)
+    # Stored first, as raw events are text in files or topics, not expressions.
+    return durable(union_events(parts))
 
 
 _RAW_NET = NET_SQL + """, raw AS (
@@ -143,13 +144,9 @@ def q_parse_events(spark, sf):
     ) SELECT event_id, failed FROM failures""",
 )
 def q_validate_events(spark, sf):
-    d = decode(raw_lines(spark, sf))
-    parts = []
-    for kind in ("network", "application", "endpoint", "threat_intel"):
-        checked = validate(events_of(d, kind), kind)
-        key = "ioc_value" if kind == "threat_intel" else "event_id"
-        parts.append(checked.select(F.col(key).alias("event_id"), F.array_join("failed_rules", ",").alias("failed")))
-    return union_events(parts)
+    checked = validate_decoded(decode(raw_lines(spark, sf))).filter("reject is null")
+    key = F.coalesce("network.event_id", "application.event_id", "endpoint.event_id", "threat_intel.ioc_value")
+    return checked.select(key.alias("event_id"), F.array_join("failed_rules", ",").alias("failed"))
 
 
 @query(
@@ -466,7 +463,16 @@ def q_batch_ids(spark, sf):
     "SELECT doc_id, round(coalesce(CASE WHEN length(text) > 0 THEN list_entropy(string_split(text, '')) END, 0), 6) AS entropy FROM documents",
 )
 def q_entropy_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", r6(text.entropy(F.col("text"))).alias("entropy"))
+    out = text.entropy_table(table(spark, sf, "documents"), "doc_id", "text")
+    return out.withColumn("entropy", r6("entropy"))
+
+
+@query(
+    "entropy_turns",
+    "SELECT conv_id, turn, round(coalesce(CASE WHEN length(text) > 0 THEN list_entropy(string_split(text, '')) END, 0), 6) AS entropy FROM conversations",
+)
+def q_entropy_turns(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", r6(text.entropy(F.col("text"))).alias("entropy"))
 
 
 _IPS = """ips AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN source_ip WHEN 1 THEN ' ' || source_ip || '  ' WHEN 2 THEN '10.0.' || CAST(event_id AS VARCHAR)

@@ -132,7 +132,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Intel derived from part: known addresses, their score and indicator strings.
 INTEL_SQL = """intel AS (
   SELECT '172.16.0.' || CAST(p_partkey % 100 AS VARCHAR) AS destination_ip,
-         CAST(max(p_size) * 10 - 460 AS INTEGER) AS score, count(*) AS n
+         CAST((max(p_size) * 7 + min(p_partkey) * 13) % 161 - 80 AS INTEGER) AS score, count(*) AS n
   FROM part WHERE p_partkey % 100 < 40 GROUP BY 1
 )"""
 
@@ -143,7 +143,7 @@ def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         p.filter(slot < 40)
         .groupBy(F.concat(F.lit("172.16.0."), slot.cast("string")).alias("destination_ip"))
-        .agg((F.max("p_size") * 10 - 460).cast("int").alias("score"))
+        .agg(((F.max("p_size") * 7 + F.min("p_partkey") * 13) % 161 - 80).cast("int").alias("score"))
     )
 
 

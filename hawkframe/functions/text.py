@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MD5_PATTERN = "^[a-fA-F0-9]{32}$"
@@ -37,6 +37,26 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0))).otherwise(0.0)
 
 
+def entropy_table(df: DataFrame, id_col: str, text: str, alias: str = "entropy") -> DataFrame:
+    """Entropy of whole long texts, one row per unique id.
+
+    Characters are counted in the task that reads the text; only one row per
+    id and distinct character is shuffled.
+    """
+    counts = (
+        df.select(id_col, F.explode(F.split(text, "")).alias("ch"))
+        .filter("ch <> ''")
+        .groupBy(id_col, "ch")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    n = F.sum("c")
+    sums = counts.groupBy(id_col).agg(
+        F.greatest(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n, F.lit(0.0)).alias("_h")
+    )
+    # Texts without a character have no counts.
+    return df.select(id_col).join(sums, id_col, "left").select(id_col, F.coalesce("_h", F.lit(0.0)).alias(alias))
+
+
 def is_valid_ipv4(ip: Column) -> Column:
     """Four decimal parts in 0..255; leading zeros are accepted."""
     parts = F.split(ip, "\\.")

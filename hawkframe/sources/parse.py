@@ -71,91 +71,97 @@ def partition_key(source_ip: Column, hostname: Column, event_id: Column) -> Colu
     return F.coalesce(F.nullif(source_ip, empty), F.nullif(hostname, empty), event_id)
 
 
-def _required(col: str) -> Column:
-    return F.col(col).isNull()
+def _required(col: Column) -> Column:
+    return col.isNull()
 
 
-def _blank(col: str) -> Column:
+def _blank(col: Column) -> Column:
     return F.coalesce(F.length(col), F.lit(0)) < 1
 
 
-def _outside(col: str, low, high=None) -> Column:
-    bad = F.col(col) < low
-    return bad if high is None else bad | (F.col(col) > high)
+def _outside(col: Column, low, high=None) -> Column:
+    bad = col < low
+    return bad if high is None else bad | (col > high)
 
 
-def _too_long(col: str, limit: int) -> Column:
+def _too_long(col: Column, limit: int) -> Column:
     return F.length(col) > limit
 
 
-def _not_in(col: str, allowed: list[str]) -> Column:
-    return F.col(col).isNull() | ~F.col(col).isin(*allowed)
+def _not_in(col: Column, allowed: list[str]) -> Column:
+    return col.isNull() | ~col.isin(*allowed)
 
 
-def _no_match(col: str, pattern: str) -> Column:
-    return ~F.col(col).rlike(pattern)
+def _no_match(col: Column, pattern: str) -> Column:
+    return ~col.rlike(pattern)
 
 
-_BASE = {"event_id": lambda: _blank("event_id"), "source_system": lambda: _blank("source_system")}
+# Each rule takes a function from field name to column and is true on a breach.
+_BASE = {"event_id": lambda c: _blank(c("event_id")), "source_system": lambda c: _blank(c("source_system"))}
 
 RULES = {
     "network": {
         **_BASE,
-        "source_ip": lambda: ~is_valid_ipv4(F.col("source_ip")),
-        "destination_ip": lambda: ~is_valid_ipv4(F.col("destination_ip")),
-        "source_port": lambda: _required("source_port") | _outside("source_port", 0, 65535),
-        "destination_port": lambda: _required("destination_port")
-        | _outside("destination_port", 0, 65535),
-        "protocol": lambda: _not_in("protocol", PROTOCOLS),
-        "bytes_sent": lambda: _outside("bytes_sent", 0),
-        "bytes_received": lambda: _outside("bytes_received", 0),
-        "packets_sent": lambda: _outside("packets_sent", 0),
-        "packets_received": lambda: _outside("packets_received", 0),
-        "payload": lambda: _too_long("payload", 10000),
-        "http_status_code": lambda: _outside("http_status_code", 100, 599),
+        "source_ip": lambda c: ~is_valid_ipv4(c("source_ip")),
+        "destination_ip": lambda c: ~is_valid_ipv4(c("destination_ip")),
+        "source_port": lambda c: _required(c("source_port")) | _outside(c("source_port"), 0, 65535),
+        "destination_port": lambda c: _required(c("destination_port"))
+        | _outside(c("destination_port"), 0, 65535),
+        "protocol": lambda c: _not_in(c("protocol"), PROTOCOLS),
+        "bytes_sent": lambda c: _outside(c("bytes_sent"), 0),
+        "bytes_received": lambda c: _outside(c("bytes_received"), 0),
+        "packets_sent": lambda c: _outside(c("packets_sent"), 0),
+        "packets_received": lambda c: _outside(c("packets_received"), 0),
+        "payload": lambda c: _too_long(c("payload"), 10000),
+        "http_status_code": lambda c: _outside(c("http_status_code"), 100, 599),
     },
     "endpoint": {
         **_BASE,
-        "hostname": lambda: _blank("hostname"),
-        "process_id": lambda: _outside("process_id", 0),
-        "parent_process_id": lambda: _outside("parent_process_id", 0),
-        "command_line": lambda: _too_long("command_line", 5000),
-        "file_hash_md5": lambda: _no_match("file_hash_md5", MD5_PATTERN),
-        "file_hash_sha256": lambda: _no_match("file_hash_sha256", SHA256_PATTERN),
+        "hostname": lambda c: _blank(c("hostname")),
+        "process_id": lambda c: _outside(c("process_id"), 0),
+        "parent_process_id": lambda c: _outside(c("parent_process_id"), 0),
+        "command_line": lambda c: _too_long(c("command_line"), 5000),
+        "file_hash_md5": lambda c: _no_match(c("file_hash_md5"), MD5_PATTERN),
+        "file_hash_sha256": lambda c: _no_match(c("file_hash_sha256"), SHA256_PATTERN),
     },
     "application": {
         **_BASE,
-        "application_name": lambda: _blank("application_name"),
-        "log_level": lambda: _required("log_level"),
-        "message": lambda: _required("message") | _too_long("message", 10000),
-        "http_status_code": lambda: _outside("http_status_code", 100, 599),
-        "response_time_ms": lambda: _outside("response_time_ms", 0),
+        "application_name": lambda c: _blank(c("application_name")),
+        "log_level": lambda c: _required(c("log_level")),
+        "message": lambda c: _required(c("message")) | _too_long(c("message"), 10000),
+        "http_status_code": lambda c: _outside(c("http_status_code"), 100, 599),
+        "response_time_ms": lambda c: _outside(c("response_time_ms"), 0),
     },
     "threat_intel": {
-        "ioc_type": lambda: _required("ioc_type"),
-        "ioc_value": lambda: _required("ioc_value"),
-        "threat_type": lambda: _required("threat_type"),
-        "severity": lambda: _not_in("severity", SEVERITIES),
-        "source": lambda: _required("source"),
-        "confidence_score": lambda: _required("confidence_score")
-        | _outside("confidence_score", 0, 1),
+        "ioc_type": lambda c: _required(c("ioc_type")),
+        "ioc_value": lambda c: _required(c("ioc_value")),
+        "threat_type": lambda c: _required(c("threat_type")),
+        "severity": lambda c: _not_in(c("severity"), SEVERITIES),
+        "source": lambda c: _required(c("source")),
+        "confidence_score": lambda c: _required(c("confidence_score"))
+        | _outside(c("confidence_score"), 0, 1),
     },
     "alert": {
-        "alert_id": lambda: _required("alert_id"),
-        "severity": lambda: _not_in("severity", SEVERITIES),
-        "threat_score": lambda: _required("threat_score") | _outside("threat_score", 0, 1),
-        "threat_type": lambda: _required("threat_type"),
-        "model_confidence": lambda: _required("model_confidence")
-        | _outside("model_confidence", 0, 1),
-        "recommended_action": lambda: _required("recommended_action"),
+        "alert_id": lambda c: _required(c("alert_id")),
+        "severity": lambda c: _not_in(c("severity"), SEVERITIES),
+        "threat_score": lambda c: _required(c("threat_score")) | _outside(c("threat_score"), 0, 1),
+        "threat_type": lambda c: _required(c("threat_type")),
+        "model_confidence": lambda c: _required(c("model_confidence"))
+        | _outside(c("model_confidence"), 0, 1),
+        "recommended_action": lambda c: _required(c("recommended_action")),
     },
 }
 
 
-def failed_rules(event_type: str, columns: list[str]) -> Column:
-    """Names of the fields that break a rule; absent optional columns pass."""
+def failed_rules(event_type: str, columns: list[str], record: str | None = None) -> Column:
+    """Names of the fields that break a rule; absent optional columns pass.
+
+    With `record` the fields are read from the struct column of that name.
+    """
+    prefix = f"{record}." if record else ""
+    field = lambda name: F.col(f"{prefix}{name}")
     checks = [
-        F.when(F.coalesce(rule(), F.lit(False)), F.lit(name))
+        F.when(F.coalesce(rule(field), F.lit(False)), F.lit(name))
         for name, rule in RULES[event_type].items()
         if name in columns
     ]
@@ -171,6 +177,15 @@ def validate(df: DataFrame, event_type: str) -> DataFrame:
     return df.withColumn("failed_rules", failed_rules(event_type, df.columns))
 
 
+def validate_decoded(decoded: DataFrame) -> DataFrame:
+    """Add `failed_rules` to decoded rows of all types in the same pass; NULL for rejects."""
+    verdict = F.lit(None).cast("array<string>")
+    for name, schema in SCHEMAS.items():
+        mine = F.col("reject").isNull() & (F.col("event_type") == name)
+        verdict = F.when(mine, failed_rules(name, schema.fieldNames(), name)).otherwise(verdict)
+    return decoded.withColumn("failed_rules", verdict)
+
+
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.size("failed_rules") == 0
     return validated.filter(ok).drop("failed_rules"), validated.filter(~ok)
