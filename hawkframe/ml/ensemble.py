@@ -136,9 +136,9 @@ class EnsembleDetector:
                     F.xxhash64(F.col(id_col), F.lit(f"{seed}/{r}/{i}")).alias("_h"),
                 )
                 donors = row_numbers(mixed, "_h", "_at").select("_at", F.get("_other", F.lit(i)).alias("_new"))
+                before, after = F.slice(self.features, 1, i), F.slice(self.features, i + 2, len(names))
                 swapped = rows.join(donors, "_at").withColumn(
-                    self.features,
-                    F.transform(self.features, lambda x, j, i=i: F.when(j == i, F.col("_new")).otherwise(x)),
+                    self.features, F.concat(before, F.array("_new"), after)
                 )
                 auc = roc_auc(self.transform(swapped), "threat_score", label).first()["auc"]
                 losses.append((name, float(base - auc)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hawkframe.operators.sliced import exact_quantiles
+from hawkframe.operators.sliced import exact_quantiles, null_safe_join
 
 # Fixed bucket bounds of the latency histogram, in seconds.
 LATENCY_BUCKETS = [0.01, 0.05, 0.1, 0.5, 1.0, float("inf")]
@@ -68,13 +68,14 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str] = ()) -> Data
         F.max(latency).alias("max"),
         F.coalesce(F.stddev_samp(latency), F.lit(0.0)).alias("stdev"),
     )
-    median = exact_quantiles(df, latency, {"median": 0.5}, by)
-    tails = exact_quantiles(df, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by, "exclusive")
+    ranks = exact_quantiles(
+        df, latency, {"median": 0.5}, by, exclusive={"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    )
     if by:
-        return basic.join(median, list(by)).join(tails, list(by))
-    # Three one-row results side by side.
-    parts = [d.withColumn("_one", F.lit(1)) for d in (basic, median, tails)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+        return null_safe_join(basic, ranks, list(by))
+    # Two one-row results side by side.
+    sides = [d.withColumn("_one", F.lit(1)) for d in (basic, ranks)]
+    return sides[0].join(sides[1], "_one").drop("_one")
 
 
 def throughput(df: DataFrame, ok: Column, elapsed_s: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -246,9 +246,9 @@ def ordered_counts(
 def exact_quantiles(
     df: DataFrame,
     value: str,
-    probs: dict[str, float],
+    inclusive: dict[str, float] | None = None,
     by: Sequence[str] = (),
-    method: str = "inclusive",
+    exclusive: dict[str, float] | None = None,
     weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, any group size.
@@ -267,27 +267,25 @@ def exact_quantiles(
     else:
         joined = ranks.withColumn("_n", sizes.scalar())
     n = F.col("_n")
-
-    def lower_rank(p: float) -> Column:
-        pos = F.floor(p * (n + 1)) if method == "exclusive" else F.floor(p * (n - 1)) + 1
-        return F.greatest(F.lit(1), F.least(pos, n - 1))
+    position = {name: p * (n - 1) + 1 for name, p in (inclusive or {}).items()}
+    position |= {name: p * (n + 1) for name, p in (exclusive or {}).items()}
+    # The rank below the position, kept inside 1..n-1 so that a next one exists.
+    lower = {
+        name: F.greatest(F.lit(1), F.least(F.floor(pos), n - 1)) for name, pos in position.items()
+    }
 
     def at(rank: Column) -> Column:
         hit = (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
         return F.max(F.when(hit, F.col(value)))
 
     aggs = []
-    for name, p in probs.items():
-        aggs += [
-            at(lower_rank(p)).alias(f"_lo_{name}"),
-            at(lower_rank(p) + 1).alias(f"_hi_{name}"),
-        ]
+    for name, rank in lower.items():
+        aggs += [at(rank).alias(f"_lo_{name}"), at(rank + 1).alias(f"_hi_{name}")]
     picked = joined.groupBy(*by).agg(F.max("_n").alias("_n"), *aggs)
     out = []
-    for name, p in probs.items():
-        pos = p * (n + 1) if method == "exclusive" else p * (n - 1) + 1
+    for name, pos in position.items():
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        step = (pos - lower_rank(p)) * (high - low)
+        step = (pos - lower[name]) * (high - low)
         out.append(F.when(n == 1, low).otherwise(low + step).cast("double").alias(name))
     return picked.select(*by, *out)
 

@@ -307,7 +307,9 @@ def window_distinct_approx(
     spread = sketches.select(
         key,
         F.explode(
-            F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda i: F.col("_slice") + i * step)
+            F.transform(
+                F.sequence(F.lit(0), F.lit(parts)), lambda i: F.col("_slice") + i.cast("bigint") * step
+            )
         ).alias("_slice"),
         "_sk",
     )
