@@ -28,7 +28,7 @@ from hawkframe.operators.state import (
     window_distinct_approx,
 )
 from hawkframe.plans.features import extract_features, feature_array
-from hawkframe.plans.scoring import batch_score, score_events
+from hawkframe.plans.scoring import batch_score, score_events, top_features
 from hawkframe.schemas import FEATURES
 
 LONG_WINDOWS = {"1min": 60, "5min": 300, "1hour": 3600, "6hour": 21600, "1day": 86400}
@@ -505,6 +505,23 @@ def q_score_events(spark, sf):
     )
 
 
+@query(
+    "top_features",
+    f"""{_event_sql(True)} SELECT event_id, 1 AS place, 'conn_count_1min' AS feature, conn_count_1min AS value, 0.25::DOUBLE AS contribution FROM feats
+    UNION ALL SELECT event_id, 2, 'unique_dst_ports_1min', unique_dst_ports_1min, 0.2 FROM feats
+    UNION ALL SELECT event_id, 3, 'payload_entropy', round(payload_entropy, 6), 0.18 FROM feats""",
+)
+def q_top_features(spark, sf):
+    out = extract_features(network(spark, sf), compat=True).select("event_id", F.posexplode(top_features()).alias("p", "f"))
+    return out.select(
+        "event_id",
+        (F.col("p") + 1).alias("place"),
+        "f.feature",
+        F.round("f.value", 6).alias("value"),
+        "f.contribution",
+    )
+
+
 @query(
     "batch_score",
     f"""WITH {NET_SQL}, checked AS (SELECT *, destination_port BETWEEN 0 AND 65535 AND bytes_sent % 70000 <= 65535 AND event_id % 97 <> 0 AS ok FROM net)

@@ -129,21 +129,24 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Intel derived from part: known addresses, their score and indicator strings.
+# Intel derived from part: sizes 1..50 stand for known addresses.
 INTEL_SQL = """intel AS (
-  SELECT '172.16.0.' || CAST(p_partkey % 100 AS VARCHAR) AS destination_ip,
-         CAST((max(p_size) * 7 + min(p_partkey) * 13) % 161 - 80 AS INTEGER) AS score, count(*) AS n
-  FROM part WHERE p_partkey % 100 < 40 GROUP BY 1
+  SELECT '172.16.0.' || CAST(p_size AS VARCHAR) AS destination_ip,
+         CAST((p_size * 13 + count(*)) % 161 - 80 AS INTEGER) AS score
+  FROM part GROUP BY p_size
 )"""
 
 
 def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    slot = F.pmod("p_partkey", F.lit(100))
+    score = (F.col("p_size") * 13 + F.col("n")) % 161 - 80
     return (
-        p.filter(slot < 40)
-        .groupBy(F.concat(F.lit("172.16.0."), slot.cast("string")).alias("destination_ip"))
-        .agg(((F.max("p_size") * 7 + F.min("p_partkey") * 13) % 161 - 80).cast("int").alias("score"))
+        p.groupBy("p_size")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.concat(F.lit("172.16.0."), F.col("p_size").cast("string")).alias("destination_ip"),
+            score.cast("int").alias("score"),
+        )
     )
 
 

@@ -107,6 +107,14 @@ class EnsembleDetector:
         auc = roc_auc(scored, "threat_score", label).select("auc")
         return rates.withColumn("auc", auc.scalar())
 
+    def training_report(self, train: DataFrame, validation: DataFrame, label: str = "label") -> DataFrame:
+        """Accuracy and AUC on the training and validation rows."""
+        parts = [("train", train), ("validation", validation)]
+        rows = [
+            self.evaluate(df, label).select(F.lit(name).alias("split"), "accuracy", "auc") for name, df in parts
+        ]
+        return rows[0].unionByName(rows[1])
+
     def importances(self, names: list[str] = FEATURES) -> dict[str, dict[str, float]]:
         return {
             m: dict(zip(names, model.featureImportances.toArray().tolist())) for m, model in self.members.items()

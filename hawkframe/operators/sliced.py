@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 US = 1_000_000
-DEFAULT_SLICE_S = 600
+DEFAULT_SLICE_S = 120
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -306,7 +306,8 @@ def lookup_join(
     """
     if table.limit(max_rows + 1).count() <= max_rows:
         return big.join(F.broadcast(table), list(keys), how)
-    spread = [c for c in big.columns]
+    # Maps and variants have no hash.
+    spread = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = table.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -159,6 +159,8 @@ def test_ensemble(spark, tmp_path):
     assert bad == 0
     report = model.evaluate(df).first()
     assert report["auc"] > 0.9 and report["tp"] + report["fn"] == 40
+    both = {r["split"]: r for r in model.training_report(df, df.filter("event_id >= 200")).collect()}
+    assert both["train"]["auc"] == report["auc"] and 0 <= both["validation"]["accuracy"] <= 1
     names = ["a", "b", "c"]
     assert set(model.importances(names)) == {"random_forest", "boosted_a", "boosted_b"}
     top = model.top_importances(spark, names, 2).collect()
