@@ -20,6 +20,9 @@ CASE_TASKS = [
     "Determine if containment is required",
     "Document findings and remediation steps",
 ]
+CASE_FOOTER = "*This case was automatically created by the AI Threat Detection System*"
+NO_FEATURES = "No feature information available"
+SIEM_SOURCE = "ai_threat_detector"
 ECS_SEVERITY = {"critical": 10, "high": 8, "medium": 5, "low": 2, "info": 1}
 
 
@@ -127,7 +130,7 @@ def format_features(features: Column) -> Column:
             F.lit(")"),
         ),
     )
-    none = F.lit("No feature information available")
+    none = F.lit(NO_FEATURES)
     return F.when(F.coalesce(F.size(features), F.lit(0)) < 1, none).otherwise(F.array_join(line, "\n"))
 
 
@@ -151,7 +154,7 @@ def case_rows(alerts: DataFrame) -> DataFrame:
         if "mitre_techniques" in cols
         else F.array().cast("array<string>")
     )
-    features = format_features(F.col("top_features")) if "top_features" in cols else F.lit("No feature information available")
+    features = format_features(F.col("top_features")) if "top_features" in cols else F.lit(NO_FEATURES)
     description = F.concat(
         F.lit("# AI-Detected Threat\n\n**Threat Score**: "),
         F.format_string("%.4f", F.col("threat_score")),
@@ -169,7 +172,7 @@ def case_rows(alerts: DataFrame) -> DataFrame:
         _listing("mitre_techniques", cols, "None identified"),
         F.lit("\n\n## Related Events\n\n"),
         _listing("related_events", cols, "None"),
-        F.lit("\n\n---\n*This case was automatically created by the AI Threat Detection System*"),
+        F.lit("\n\n---\n" + CASE_FOOTER),
     )
     return alerts.select(
         "alert_id",
@@ -226,7 +229,7 @@ def siem_envelope(
         F.to_json(
             F.struct(
                 F.struct(*alerts.columns).alias("event"),
-                F.lit("ai_threat_detector").alias("source"),
+                F.lit(SIEM_SOURCE).alias("source"),
                 F.lit(sourcetype).alias("sourcetype"),
                 F.lit(index).alias("index"),
                 (micros(alerts, ts) / 1e6).alias("time"),
