@@ -39,8 +39,9 @@ def extract_features(
     `windows` overrides the look-back seconds of `1min`, `5min` and `1hour`.
     With `compat` the distinct counts run over the source's session and the
     fields that need tables of their own (country, peers, techniques, byte
-    deviation) stay constant; otherwise all of them are computed.  Long texts are reduced to numbers first and
-    that narrow table is written once, as every feature family reads it.
+    deviation) stay constant; otherwise all of them are computed.  Long texts
+    are reduced to numbers first and that narrow table is written once, as
+    every feature family reads it.
     """
     windows = {**WINDOWS, **(windows or {})}
     matched = matched_rules(rules) if rules and not compat else None

@@ -9,7 +9,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # Random trees and kernels have no SQL; they are tested in test_models.
 WITHOUT_SQL = {"distinct_window_approx", "iforest", "ocsvm", "anomaly_stats"}
 # Needs more rows than the smallest tables hold.
-MAY_BE_EMPTY = {"volume_spike", "conn_counts", "semi_ioc"}
+MAY_BE_EMPTY = {"volume_spike"}
 
 
 @pytest.fixture(scope="session")
