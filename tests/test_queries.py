@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from hawkframe.catalog import all_queries, all_sql
 from oracle import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 # Random trees and kernels have no SQL; they are tested in test_models.
 WITHOUT_SQL = {"distinct_window_approx", "iforest", "ocsvm", "anomaly_stats"}
 # Needs more rows than the smallest tables hold.
@@ -27,6 +28,10 @@ def test_query_equals_sql(spark, sf, con, name):
     assert issue is None or (issue == "no rows" and name in MAY_BE_EMPTY), issue
 
 
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and {"alert_id", "severity", "threat_score"} <= set(df.columns)
