@@ -61,3 +61,27 @@ def copies(df: DataFrame, count: str, out: str) -> DataFrame:
     many = many.repartition(F.col("_from"), *[F.col(c) for c in df.columns])
     many = many.withColumn(out, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPY_CHUNK, F.col(count)) - 1)))
     return few.unionByName(many.select(*few.columns))
+
+
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply `fn` to each Arrow batch as lists by column name; it returns lists by column of `schema`, or yields several such."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    target = _parse_datatype_string(schema)
+    assert isinstance(target, StructType)
+    arrow = to_arrow_schema(target)
+
+    def run(batches):
+        for batch in batches:
+            made = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+            for part in [made] if isinstance(made, dict) else made:
+                yield pa.RecordBatch.from_arrays([pa.array(part[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, target)
+
+
+def lowered(text: str | None) -> bytes:
+    """UTF-8 bytes with A-Z in lower case and nothing else changed; null is empty."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()

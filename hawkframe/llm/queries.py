@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hawkframe.llm import mixing, permute, sharding
+from hawkframe.llm import decontaminate, mixing, permute, secrets, sharding, toxicity, warc
 from hawkframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ bits AS (SELECT i AS b, i AS v, 0 AS k FROM range(256) t(i)
 crc_table AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
 sums AS (
     SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT,
-        list_transform(range(0, strlen(coalesce(text, ''))), lambda i: ('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2))::BIGINT)),
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
         lambda c, x: xor(c // 256, t[xor(c & 255, x) + 1])), 4294967295::BIGINT) AS text_crc32
     FROM d, crc_table),
 n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row FROM sums),
@@ -85,3 +85,54 @@ FROM n JOIN q ON n.row = q.key
 @query("op3_shard_documents", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op5_score_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# Base 32 of a SHA-1: eight groups of five hexadecimal digits give four letters each.
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS main FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = main THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> main THEN main END AS refers_to
+FROM m
+"""
+
+
+@query("op1_warc_round_trip", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS run
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM i WHERE len(w) > 0)),
+runs AS (SELECT l, run, list(item_id) AS items FROM win GROUP BY l, run),
+d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT r, l, k, array_to_string(list_slice(w, k, k + l - 1), ' ') AS run
+    FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, (SELECT DISTINCT l FROM runs) WHERE len(w) >= l)),
+hits AS (SELECT r, k, g.l, items FROM grams g JOIN runs USING (l, run)),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(k, k + l)) AS k FROM hits) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, unnest(items)::VARCHAR AS x FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(x, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@query("op9_decontaminate", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_scan_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
