@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hawkframe.llm import decontaminate, mixing, permute, secrets, sharding, toxicity, warc
+from hawkframe.llm import decontaminate, mixing, ngramlm, permute, secrets, sharding, toxicity, warc
 from hawkframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_scan_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_model_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score_report(table(spark, sf_dir, "documents"))
