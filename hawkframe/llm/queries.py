@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkframe.llm import annsearch, decontaminate, mixing, ngramlm, permute, secrets, sharding, toxicity, warc
+from hawkframe.llm import annsearch, decontaminate, mixing, neardup, ngramlm, permute, secrets, sharding, toxicity, warc
 from hawkframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_model_scores")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.score_report(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, k, k + 4), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+reach AS (SELECT r AS x, r AS y FROM w UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+m AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM w JOIN m USING (r) LEFT JOIN n USING (r)
+"""
+
+
+@query("op6_near_duplicates", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
