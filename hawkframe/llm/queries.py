@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkframe.llm import annsearch, decontaminate, mixing, neardup, ngramlm, permute, secrets, sharding, toxicity, warc
+from hawkframe.llm import annsearch, decontaminate, mixing, neardup, ngramlm, permute, secrets, sharding, suffixdedup, toxicity, warc
 from hawkframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,8 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 @query("op6_near_duplicates", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_repeated_bytes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_report(table(spark, sf_dir, "documents"))
