@@ -75,11 +75,11 @@ def _fresh(known: _Hashes) -> _Hashes:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, node (id of its set; null without words) and signature."""
+    """Per document: doc_id, text_hash, n_shingles, node (id of its set; null without words) and signature."""
     known = _Hashes()
 
     def run(columns):
-        out = {"doc_id": columns["doc_id"], "n_shingles": [], "node": [], "signature": []}
+        out = {"doc_id": columns["doc_id"], "text_hash": columns["text_hash"], "n_shingles": [], "node": [], "signature": []}
         for text in columns["text"]:
             s = shingle_hashes(text, _fresh(known))
             out["n_shingles"].append(len(s))
@@ -87,7 +87,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
             out["signature"].append(signature(s).tobytes() if len(s) else None)
         return out
 
-    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node binary, signature binary")
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, signature binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -149,7 +150,6 @@ def weighed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, set) of the wanted classes (node, rep), from the text of each class's representative document."""
-    kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]))
     known = _Hashes()
 
@@ -163,7 +163,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out["set"].append(s.tobytes())
         return out
 
-    assert kind
     return map_batches(texts.select("text", "node"), run, "node binary, set binary").dropDuplicates(["node"])
 
 
@@ -186,13 +185,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document).
-
-    Null and empty texts, and texts without words, have the empty set and stand alone, under their own id. Rows with a null id may link
-    others but give no component its name; a group of only such rows has a null component_id and is kept. Repeated rows with the
-    smallest id are all kept. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' sets, and (node, rep, label) of their classes: the class's smallest id and its component."""
     every = durable(document_sets(docs))
     classes = durable(every.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
     pairs = durable(weighed(candidates(classes), classes))
@@ -207,9 +201,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
     labels = components(links.union(confirmed(rest, sets)))
-    named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return every, classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id of its group) and kept (it is that document).
+
+    Null and empty texts, and texts without words, have the empty set and stand alone, under their own id. Rows with a null id may link
+    others but give no component its name; a group of only such rows has a null component_id and is kept. Repeated rows with the
+    smallest id are all kept. An empty table gives no rows.
+    """
+    every, named = grouped(docs)
     names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = named.join(names, "label").select("node", "component_id")
     out = every.select("doc_id", "n_shingles", "node").join(found, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group, with all its columns: the smallest id, then the smallest text hash; of rows equal in
+    both, any one. Documents without words stand alone and all stay.
+    """
+    every, named = grouped(docs)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keepers = every.join(named.select("node", "label"), "node").groupBy("label").agg(F.min(first).alias("k"))
+    keepers = keepers.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    with_hash = docs.where(~wordless).withColumn("_text_hash", F.xxhash64("text"))
+    kept = with_hash.join(keepers, with_hash["doc_id"].eqNullSafe(keepers["_id"]) & (F.col("_text_hash") == F.col("_hash")))
+    kept = kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    return kept.unionByName(docs.where(wordless))

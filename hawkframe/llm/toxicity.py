@@ -25,6 +25,9 @@ WIDTH = 8
 # Bounds of the training sample: texts per class, and bytes of a text that may be in it.
 SAMPLE_TEXTS = 6000
 SAMPLE_TEXT_BYTES = 32_768
+LEAST_STEPS = 300
+# An n-gram counts once for each different word of each text that has it.
+LEAST_USES = 5
 
 
 def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batch: int = 256, rate: float = 0.6) -> Model:
+def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batch: int = 128, rate: float = 0.6) -> Model:
     """Fit on whole texts. Without texts of both classes the model is constant at the labels' share."""
     y_text = np.asarray(toxic, np.int64)
     if not len(y_text) or y_text.min() == y_text.max():
@@ -121,8 +124,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
     start, end, owner = windows(lengths)
     y = y_text[owner]
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    out, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
+    # Vectors start at zero, and n-grams of too few words of texts stay there: what was never seen says nothing.
+    table = np.zeros((BUCKETS, WIDTH), np.float32)
+    uses = np.bincount(codes, minlength=len(words))
+    often = np.bincount(ids, np.repeat(uses, np.diff(ptr)), BUCKETS) >= LEAST_USES
+    out, bias = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     sums, out_sums, bias_sums = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
 
     def forward(rows):
@@ -151,6 +157,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
         hit, where = np.unique(grams, return_inverse=True)
         spread = np.repeat(g_word, n, axis=0)
         g = np.stack([np.bincount(where, spread[:, j], len(hit)) for j in range(WIDTH)], 1).astype(np.float32)
+        g[~often[hit]] = 0
         sums[hit] += (g * g).mean(1)
         table[hit] -= rate * g / np.sqrt(sums[hit])[:, None]
         out_sums[:], bias_sums[:] = out_sums + g_out**2, bias_sums + g_bias**2
@@ -173,7 +180,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
             np.maximum.at(best, owner, margin)
             top = margin >= best[owner]
             rows = np.flatnonzero(np.where(y == 1, top | (margin > 2), top | (margin > -1) | (rng.random(len(y)) < 0.05)))
-        for _ in range(1 if turn == 0 else 2):
+        # A small sample is gone through more often.
+        for _ in range(max(1 if turn == 0 else 2, -(-LEAST_STEPS * batch // len(rows)))):
             mixed = rng.permutation(rows)
             for i in range(0, len(mixed), batch):
                 step(mixed[i : i + batch])
