@@ -19,19 +19,21 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hawkframe.llm.common import durable, map_batches, running_sum
+from hawkframe.llm.common import durable, ensure_checkpoint_dir, map_batches, running_sum, text_partitions
 
 LENGTH = 50
 PERIOD = 31
 # A difference cover modulo 31 (a perfect difference set): every residue is a difference of two of these.
 COVER = (1, 5, 11, 24, 25, 27)
 SAMPLED = LENGTH - PERIOD + 1
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +74,7 @@ class Group:
         self.ends = np.cumsum(self.sizes)
         rank = np.cumsum(np.r_[0, np.diff(np.array(ids)) != 0][: len(ids)])
         self.owner = np.repeat(rank, self.sizes).astype(np.int32)
-        self.last = np.repeat(self.ends, self.sizes)
+        self.last = np.repeat(self.ends.astype(np.int32) if len(data) < 1 << 31 else self.ends, self.sizes)
         twenty, self.long = fingerprints(self.data)
         place = np.arange(len(twenty))
         sample = place[np.isin(place % PERIOD, COVER)]
@@ -188,9 +190,21 @@ def _bits(answer: list[dict] | None, keys: np.ndarray, bits: int, parts: int) ->
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop shuffle files of steps whose results are written."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of steps whose results are written; it works on what both garbage
+    collections have found, a moment later."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write `df` to the shared folder as a table bucketed by `key`, so that joins on it leave these rows where they are."""
+    spark = df.sparkSession
+    name = f"texts_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").bucketBy(text_partitions(df), key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def grouped_texts(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -215,7 +229,7 @@ def grouped_texts(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             }
         )
 
-    return durable(rows.groupBy("g").applyInArrow(lay, "g long, ids array<long>, sizes array<long>, packed binary"))
+    return bucketed(rows.groupBy("g").applyInArrow(lay, "g long, ids array<long>, sizes array<long>, packed binary"), "g")
 
 
 def repeated_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
