@@ -151,7 +151,10 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
         p, mean, sizes, local, used, n, grams = forward(rows)
         p[np.arange(len(rows)), y[rows]] -= 1
         p *= np.where(y[rows] == 1, 2.0, 1.0)[:, None] / len(rows)
-        g_out, g_bias, g_mean = mean.T @ p, p.sum(0), p @ out.T
+        # An empty window is clean.
+        nothing = np.exp(bias - bias.max())
+        g_bias = p.sum(0) + 0.2 * (nothing / nothing.sum() - np.array([1.0, 0.0]))
+        g_out, g_mean = mean.T @ p, p @ out.T
         per_word = np.repeat(g_mean / WINDOW, sizes, axis=0)
         g_word = np.stack([np.bincount(local, per_word[:, j], used) for j in range(WIDTH)], 1) / n[:, None]
         hit, where = np.unique(grams, return_inverse=True)

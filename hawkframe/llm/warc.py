@@ -144,7 +144,7 @@ def read_records(source, keep_payload: bool = True) -> Iterator[dict]:
     """
     stream = _Members(source)
     while True:
-        start = stream.at - len(stream.raw) if stream.raw else stream.at
+        start = stream.at
         if not stream.next_member():
             return
         if not stream.line().startswith(b"WARC/"):
