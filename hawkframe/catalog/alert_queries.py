@@ -228,11 +228,11 @@ def q_ecs_alerts(spark, sf):
 
 @query(
     "top_threats",
-    f"WITH {ALERT_SQL} SELECT threat_type, count(*) AS n FROM graded GROUP BY 1 ORDER BY n DESC, threat_type LIMIT 3",
+    f"WITH {ALERT_SQL} SELECT threat_type, count(*) AS n FROM graded GROUP BY 1",
 )
 def q_top_threats(spark, sf):
     return (
-        alerts(spark, sf).groupBy("threat_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "threat_type").limit(3)
+        alerts(spark, sf).groupBy("threat_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "threat_type")
     )
 
 

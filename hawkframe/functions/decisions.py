@@ -41,7 +41,10 @@ def auth_failure(message: Column) -> Column:
 
 
 def off_hours(ts: Column) -> Column:
-    return ~F.hour(ts).between(8, 17)
+    """Outside 08:00 to 17:59 UTC, whatever the session's time zone; a time without zone is UTC."""
+    utc = F.pmod(F.floor(F.unix_micros(ts.cast("timestamp")) / 3_600_000_000), F.lit(24))
+    hour = F.when(F.typeof(ts) == "timestamp_ntz", F.hour(ts)).otherwise(utc)
+    return ~hour.between(8, 17)
 
 
 def is_http(protocol: Column) -> Column:

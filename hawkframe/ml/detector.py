@@ -51,22 +51,21 @@ class AnomalyDetector:
         """Add member scores (higher is more anomalous), `anomaly_pred` and `anomaly_score`."""
         if not self.is_trained:
             raise ValueError("train or load the detector first")
-        x = df.select(self.id_col, self.scaler.apply(self.features).alias("features"))
-        scored = self.lof.score(x, self.id_col, "features").select(
-            self.id_col,
-            self.isolation_forest.decision("features").alias("_a"),
-            self.one_class_svm.decision("features").alias("_b"),
+        x = df.withColumn("_features", self.scaler.apply(self.features))
+        scored = self.lof.score(x, self.id_col, "_features").select(
+            *df.columns,
+            self.isolation_forest.decision("_features").alias("_a"),
+            self.one_class_svm.decision("_features").alias("_b"),
             F.col("lof_decision").alias("_c"),
         )
         parts = [F.col(c) for c in ("_a", "_b", "_c")]
-        verdict = scored.select(
-            self.id_col,
+        return scored.select(
+            *df.columns,
             *[(-p).alias(f"{m}_score") for m, p in zip(MEMBERS, parts)],
             *[_flag(p).alias(f"{m}_pred") for m, p in zip(MEMBERS, parts)],
             majority_vote([_flag(p) for p in parts]).alias("anomaly_pred"),
             anomaly_score(parts).alias("anomaly_score"),
         )
-        return df.join(verdict, self.id_col)
 
     def training_stats(self, df: DataFrame) -> DataFrame:
         """Anomalies found by each member and by the vote, in one row."""

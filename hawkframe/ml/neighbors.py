@@ -212,14 +212,14 @@ class LocalOutlierFactor:
         index = self._index or NeighborIndex.build(self.table.select("pid", "vec", "weight"))
         self._index = index
         queries = durable(
-            distinct_points(df, id_col, features).select(F.col("pid").alias("qid"), "vec")
+            distinct_points(df.where(F.forall(F.col(features).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v))), id_col, features).select(F.col("pid").alias("qid"), "vec")
         )
         near = durable(index.nearest(queries, self.k))
         reach = lookup_join(near, self.table.select("pid", "kdist"), ["pid"], "inner")
         factors = _factor(near, self.table, _density(reach, self.k), self.k)
         by_vec = queries.join(factors, "qid").select("vec", "lof")
         rows = df.withColumn("vec", F.col(features).cast("array<double>"))
-        out = lookup_join(rows, by_vec, ["vec"], "inner", max_rows=20_000)
+        out = lookup_join(rows, by_vec, ["vec"], "left")
         return out.select(*df.columns, "lof", (-F.col("lof") - F.lit(self.offset)).alias("lof_decision"))
 
     def save(self, spark: SparkSession, path: str) -> None:

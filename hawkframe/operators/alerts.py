@@ -116,6 +116,14 @@ def _case_level() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("severity")), F.lit(2))
 
 
+def number_text(value: Column) -> Column:
+    """Shortest decimal text of a double, without an exponent from 0.0001 up to 10^16."""
+    text = value.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    inside = (F.abs(value) >= 1e-4) & (F.abs(value) < 1e16)
+    return F.when(text.contains("E") & inside, plain).otherwise(text)
+
+
 def format_features(features: Column) -> Column:
     """Markdown lines of the first five features."""
     line = F.transform(
@@ -124,7 +132,7 @@ def format_features(features: Column) -> Column:
             F.lit("- **"),
             f["feature"],
             F.lit("**: "),
-            f["value"].cast("string"),
+            number_text(f["value"]),
             F.lit(" (contribution: "),
             F.format_string("%.2f", f["contribution"]),
             F.lit(")"),
@@ -232,7 +240,7 @@ def siem_envelope(
                 F.lit(SIEM_SOURCE).alias("source"),
                 F.lit(sourcetype).alias("sourcetype"),
                 F.lit(index).alias("index"),
-                (micros(alerts, ts) / 1e6).alias("time"),
+                (micros(alerts, ts).cast("decimal(26,6)") / 1_000_000).cast("decimal(20,6)").alias("time"),
             ),
             JSON_TIME,
         ).alias("value"),

@@ -142,19 +142,20 @@ def next_after(
     """Add the smallest `value` among rows of the key strictly later than the row.
 
     `value` must not decrease with time where it is set (a timestamp, or a
-    struct that starts with one), so the smallest is also the earliest.
+    struct that starts with one), so the smallest is also the earliest.  Frames
+    run backwards in time: they only grow, so a row costs one step.
     """
     keys = list(keys)
     sliced = df.withColumn("_slice", slice_of(F.col(t), slice_us)).withColumn("_v", value)
     local = (
         Window.partitionBy(*keys, "_slice")
-        .orderBy(t)
-        .rangeBetween(1, Window.unboundedFollowing)
+        .orderBy(F.col(t).desc())
+        .rangeBetween(Window.unboundedPreceding, -1)
     )
     later = (
         Window.partitionBy(*keys)
-        .orderBy("_slice")
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(F.desc("_slice"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     firsts = sliced.groupBy(*keys, "_slice").agg(F.min("_v").alias("_m"))
     firsts = firsts.select(*keys, "_slice", F.min("_m").over(later).alias("_later"))
@@ -291,25 +292,11 @@ def exact_quantiles(
 
 
 def lookup_join(
-    big: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    max_rows: int = 100_000,
-    salts: int = 32,
+    big: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join a lookup table to a big one that may be skewed on the keys.
 
-    The table is broadcast when it has at most `max_rows` rows; it is counted
-    only up to that bound.  A larger one is joined with salted keys, so the
-    rows of a hot key spread over `salts` tasks.
+    A plain join: adaptive execution broadcasts the table if its measured bytes
+    allow that, and splits the partitions of a hot key otherwise.
     """
-    if table.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(table), list(keys), how)
-    # Maps and variants have no hash.
-    spread = [c for c, kind in big.dtypes if "map<" not in kind and "variant" not in kind]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = table.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.join(table, list(keys), how)

@@ -13,6 +13,7 @@ from hawkframe.operators.intel import add_country, add_ioc_flag, add_reputation,
 from hawkframe.operators.rules import Rule, matched_rules, technique_list
 from hawkframe.operators.sliced import lookup_join, null_safe_join
 from hawkframe.operators.state import (
+    latest_per_event,
     not_seen_within,
     novel_in_session,
     session_distinct,
@@ -64,7 +65,8 @@ def extract_features(
         techniques.alias("mitre_techniques"),
         F.size(techniques).alias("mitre_technique_count"),
     )
-    rows = durable(rows)
+    # A repeated event id of a source counts once, with its latest time.
+    rows = durable(latest_per_event(rows))
     rows = _coded(rows, windows) if compat else _designed(rows, windows, ranges, assets)
     rows = add_reputation(rows, reputation) if reputation is not None else _zero(rows, "ip_reputation_score")
     rows = add_ioc_flag(rows, iocs) if iocs is not None else _zero(rows, "ioc_matches")
