@@ -177,11 +177,15 @@ def test_large_lookup_equals_broadcast(spark, how):
     big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 70).alias("k"))
     table = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     small = lookup_join(big, table, ["k"], how)
-    large = lookup_join(big, table, ["k"], how, max_rows=10, salts=4)
-    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
-    assert sorted(map(tuple, small.select(*sorted(small.columns)).collect()), key=str) == sorted(
-        map(tuple, large.select(*sorted(large.columns)).collect()), key=str
-    )
+    rows = sorted(map(tuple, small.select(*sorted(small.columns)).collect()), key=str)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        large = lookup_join(big, table, ["k"], how)
+        assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+        assert rows == sorted(map(tuple, large.select(*sorted(large.columns)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_case_text(spark):
