@@ -23,8 +23,8 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 WIDTH = 8
 # Bounds of the training sample: texts per class, and bytes of a text that may be in it.
-SAMPLE_TEXTS = 6000
-SAMPLE_TEXT_BYTES = 32_768
+SAMPLE_TEXTS = 4000
+SAMPLE_TEXT_BYTES = 16_384
 LEAST_STEPS = 300
 # An n-gram counts once for each different word of each text that has it.
 LEAST_USES = 5
@@ -77,12 +77,10 @@ def coded(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words of the texts, each text's different words as numbers, and how many each has."""
     index: dict[str, int] = {}
     number = index.setdefault
-    codes, lengths = [], []
+    codes = []
     for t in texts:
-        words = dict.fromkeys((t or "").lower().split())
-        codes.extend([number(w, len(index)) for w in words])
-        lengths.append(len(words))
-    return list(index), np.array(codes, np.int64), np.array(lengths, np.int64)
+        codes.append(np.array([number(w, len(index)) for w in dict.fromkeys((t or "").lower().split())], np.int32))
+    return list(index), np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array([len(c) for c in codes], np.int64)
 
 
 @dataclasses.dataclass
@@ -120,13 +118,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
         share = (y_text.sum() + 1e-3) / (len(y_text) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     words, codes, lengths = coded(texts)
-    ids, ptr = features(words)
+    parts = [features(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    ids = np.concatenate([p[0].astype(np.int32) for p in parts])
+    ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+    del parts, words
     start, end, owner = windows(lengths)
     y = y_text[owner]
     rng = np.random.default_rng(seed)
     # Vectors start at zero, and n-grams of too few words of texts stay there: what was never seen says nothing.
     table = np.zeros((BUCKETS, WIDTH), np.float32)
-    uses = np.bincount(codes, minlength=len(words))
+    uses = np.bincount(codes, minlength=len(ptr) - 1).astype(np.float32)
     often = np.bincount(ids, np.repeat(uses, np.diff(ptr)), BUCKETS) >= LEAST_USES
     out, bias = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     sums, out_sums, bias_sums = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -169,7 +170,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3, rounds: int = 3, batc
 
     def margins() -> np.ndarray:
         logit = (table @ (out[:, 1] - out[:, 0])).astype(np.float64)
-        of_word = np.add.reduceat(logit[ids], ptr[:-1]) / np.diff(ptr)
+        of_word = np.add.reduceat(logit.astype(np.float32)[ids], ptr[:-1]) / np.diff(ptr)
         total = np.concatenate([[0.0], np.cumsum(of_word[codes])])
         return (total[end] - total[start]) / WINDOW + bias[1] - bias[0]
 
