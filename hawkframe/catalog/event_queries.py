@@ -86,6 +86,24 @@ def raw_intel(spark, sf):
     return p.select(F.to_json(record).alias("value"))
 
 
+def raw_mistyped(spark, sf):
+    """Lines as senders write them: numbers as text, wrong types, bad times, counters beyond 64 bits."""
+    s = table(spark, sf, "supplier")
+    i = F.col("s_suppkey")
+    form = i % 8
+    number = (
+        F.when(form == 0, '"abc"').when(form == 1, "10.7").when(form == 2, '"80"').when(form == 3, "12.0")
+        .when(form == 4, "99999999999999999999999").when(form == 5, "null").otherwise("7")
+    )
+    time = F.when(i % 3 == 0, "nope").otherwise("2024-01-01T00:00:00Z")
+    line = F.concat(
+        F.lit('{"event_type":"network","event_id":"raw-'), i.cast("string"), F.lit('","source_system":"zeek","timestamp":"'), time,
+        F.lit('","source_ip":"10.0.0.1","destination_ip":"10.0.0.2","source_port":"80","destination_port":443,"protocol":"tcp","bytes_sent":'),
+        number, F.lit("}"),
+    )
+    return s.select(line.alias("value"))
+
+
 def raw_lines(spark, sf):
     parts = [f(spark, sf) for f in (raw_network, raw_logs, raw_endpoint, raw_intel)]
     # Stored first, as raw events are text in files or topics, not expressions.
@@ -149,6 +167,19 @@ def q_validate_events(spark, sf):
     return checked.select(key.alias("event_id"), F.array_join("failed_rules", ",").alias("failed"))
 
 
+@query(
+    "validate_types",
+    """SELECT 'raw-' || CAST(s_suppkey AS VARCHAR) AS event_id, 80 AS source_port, 0::BIGINT AS packets_sent,
+      CASE s_suppkey % 8 WHEN 2 THEN 80 WHEN 3 THEN 12 WHEN 5 THEN 0 WHEN 6 THEN 7 WHEN 7 THEN 7 END::BIGINT AS bytes_sent,
+      concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'timestamp' END, CASE WHEN s_suppkey % 8 IN (0, 1, 4) THEN 'bytes_sent' END) AS failed
+    FROM supplier""",
+)
+def q_validate_types(spark, sf):
+    checked = validate_decoded(decode(durable(raw_mistyped(spark, sf))))
+    fields = [f"network.{c}" for c in ("event_id", "source_port", "packets_sent", "bytes_sent")]
+    return checked.select(*fields, F.array_join("failed_rules", ",").alias("failed"))
+
+
 @query(
     "src_files",
     f"WITH {NET_SQL} SELECT event_id, ts, source_ip, destination_port, bytes_sent FROM net",

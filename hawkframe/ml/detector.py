@@ -78,8 +78,8 @@ class AnomalyDetector:
     def save(self, spark: SparkSession, path: str) -> None:
         if not self.is_trained:
             raise ValueError("no trained models to save")
-        schema = "contamination double, id_col string, mean array<double>, std array<double>"
-        row = [(self.contamination, self.id_col, self.scaler.mean, self.scaler.std)]
+        schema = "contamination double, id_col string, features string, mean array<double>, std array<double>"
+        row = [(self.contamination, self.id_col, self.features, self.scaler.mean, self.scaler.std)]
         spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/meta")
         for m in MEMBERS:
             getattr(self, m).save(spark, f"{path}/{m}")
@@ -94,4 +94,5 @@ class AnomalyDetector:
             OneClassSVM.load(spark, f"{path}/one_class_svm"),
             LocalOutlierFactor.load(spark, f"{path}/lof"),
             meta["id_col"],
+            meta["features"],
         )

@@ -23,17 +23,23 @@ from pyspark.sql import functions as F
 from hawkframe.functions.decisions import soft_vote
 from hawkframe.operators.metrics import class_weights, confusion_metrics, roc_auc
 from hawkframe.operators.sampling import row_numbers
+from hawkframe.operators.sliced import running_sums
 from hawkframe.schemas import FEATURES, Settings
 from hawkframe.session import durable, ensure_checkpoint_dir
 
 MEMBERS = ("random_forest", "boosted_a", "boosted_b")
 _LOADERS = (RandomForestClassificationModel, GBTClassificationModel, GBTClassificationModel)
 
+_META = (
+    "random_forest_weight double, boosted_a_weight double, boosted_b_weight double, "
+    "decision_threshold double, features string"
+)
+
 # Fixed member settings; override any of them in `fit`.
 PARAMS = {
     "random_forest": {"numTrees": 200, "maxDepth": 20, "minInstancesPerNode": 5, "featureSubsetStrategy": "sqrt"},
     "boosted_a": {"maxIter": 150, "maxDepth": 10, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "boosted_b": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1},
+    "boosted_b": {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "featureSubsetStrategy": "0.8"},
 }
 
 
@@ -56,7 +62,10 @@ class EnsembleDetector:
         """Fit the members on the same rows with their own class weights."""
         ensure_checkpoint_dir(df.sparkSession)
         # One row per class reaches the driver.
-        table = {r[label]: r for r in class_weights(df, label).collect()}
+        found = class_weights(df, label).limit(3).collect()
+        if len(found) > 2:
+            raise ValueError(f"{label} must have at most two values")
+        table = {r[label]: r for r in found}
 
         def weight(kind: str) -> Column:
             out = F.lit(1.0)
@@ -133,33 +142,43 @@ class EnsembleDetector:
     def permutation_importance(
         self, df: DataFrame, id_col: str, label: str, names: list[str], repeats: int = 10, seed: int = 42
     ) -> DataFrame:
-        """Mean AUC loss when one feature is shuffled among the rows."""
+        """Mean AUC loss when one feature is shuffled among the rows; NULL where only one class is present.
+
+        All shuffles are scored in one pass: each row is repeated once per feature and repeat, with that
+        feature's value taken from the row at the same place in a random order.
+        """
         rows = durable(row_numbers(df.select(id_col, label, self.features), id_col, "_at"))
-        base = roc_auc(self.transform(rows), "threat_score", label).first()["auc"]
-        losses = []
-        for i, name in enumerate(names):
-            for r in range(repeats):
-                mixed = rows.select(
-                    F.col(self.features).alias("_other"),
-                    F.xxhash64(F.col(id_col), F.lit(f"{seed}/{r}/{i}")).alias("_h"),
-                )
-                donors = row_numbers(mixed, "_h", "_at").select("_at", F.get("_other", F.lit(i)).alias("_new"))
-                before, after = F.slice(self.features, 1, i), F.slice(self.features, i + 2, len(names))
-                swapped = rows.join(donors, "_at").withColumn(
-                    self.features, F.concat(before, F.array("_new"), after)
-                )
-                auc = roc_auc(self.transform(swapped), "threat_score", label).first()["auc"]
-                losses.append((name, float(base - auc)))
-        table = df.sparkSession.createDataFrame(losses, "feature string, loss double")
-        return table.groupBy("feature").agg(F.avg("loss").alias("importance"))
+        trials = F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1)))
+        spread = rows.select("*", trials.alias("_trial")).withColumn("_i", F.expr(f"cast(_trial div {repeats} AS INT)"))
+        donors = spread.select(
+            "_trial",
+            F.col(id_col).alias("_donor"),
+            F.get(self.features, F.col("_i")).alias("_new"),
+            F.xxhash64(F.col(id_col), F.col("_trial"), F.lit(seed)).alias("_h"),
+        ).withColumn("_slice", F.shiftright("_h", 56))
+        ordered = running_sums(donors, ["_trial"], "_slice", ["_h", "_donor"], {"_place": F.lit(1)})
+        ordered = ordered.select("_trial", F.col("_place").cast("long").alias("_at"), "_new")
+        swapped = spread.withColumn("_at", F.col("_at").cast("long")).join(ordered, ["_trial", "_at"]).withColumn(
+            self.features,
+            F.transform(self.features, lambda x, at: F.when(at == F.col("_i"), F.col("_new")).otherwise(x)),
+        )
+        base = roc_auc(self.transform(rows), "threat_score", label).select("auc").scalar()
+        lost = roc_auc(self.transform(swapped), "threat_score", label, ["_trial"])
+        name = F.get(F.array(*[F.lit(n) for n in names]), F.expr(f"cast(_trial div {repeats} AS INT)"))
+        return lost.groupBy(name.alias("feature")).agg(F.avg(base - F.col("auc")).alias("importance"))
 
     def save(self, path: str) -> None:
         if not self.is_trained:
             raise ValueError("no trained models to save")
         for name, model in self.members.items():
             model.write().overwrite().save(f"{path}/{name}")
+        row = [(*self.weights, self.settings.decision_threshold, self.features)]
+        SparkSession.active().createDataFrame(row, _META).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(path: str, settings: Settings | None = None) -> "EnsembleDetector":
+        """The saved members; weights and threshold are the saved ones unless `settings` is given."""
         members = {name: loader.load(f"{path}/{name}") for name, loader in zip(MEMBERS, _LOADERS)}
-        return EnsembleDetector(settings or Settings(), members)
+        meta = SparkSession.active().read.parquet(f"{path}/meta").first().asDict()
+        features = meta.pop("features")
+        return EnsembleDetector(settings or Settings(**meta), members, features)

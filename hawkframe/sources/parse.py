@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hawkframe.functions.text import MD5_PATTERN, SHA256_PATTERN, is_valid_ipv4
 from hawkframe.schemas import EVENT_TYPES, PROTOCOLS, SCHEMAS, SEVERITIES, TOPICS
@@ -17,13 +18,39 @@ JSON_TIME = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 BAD_JSON = "malformed json"
+# Counters that are 0 unless given.
+ZERO_BY_DEFAULT = ("bytes_sent", "bytes_received", "packets_sent", "packets_received")
+
+
+def _numeric_text(raw: Column, kind: T.DataType) -> Column:
+    """A number given as text, or a whole number written with a fraction of zero."""
+    whole = not isinstance(kind, T.DoubleType)
+    return (F.regexp_replace(raw, r"\.0+$", "") if whole else raw).try_cast(kind)
+
+
+def _completed(record: str, field: T.StructField, document: str) -> tuple[Column, Column | None]:
+    """Value of a field with coercion and default, and the field's name where its text has another type."""
+    typed, name, kind = F.col(f"{record}.{field.name}"), field.name, field.dataType
+    if not isinstance(kind, (T.IntegerType, T.LongType, T.DoubleType, T.TimestampType)):
+        return typed.alias(name), None
+    raw = F.try_variant_get(F.col(document), f"$.{name}", "string")
+    if not isinstance(kind, T.TimestampType):
+        typed = F.coalesce(typed, _numeric_text(raw, kind))
+    wrong = F.when(raw.isNotNull() & typed.isNull(), F.lit(name))
+    if name == "timestamp":
+        typed = F.when(raw.isNull(), F.current_timestamp()).otherwise(typed)
+    elif name in ZERO_BY_DEFAULT:
+        typed = F.when(raw.isNull(), F.lit(0).cast(kind)).otherwise(typed)
+    return typed.alias(name), wrong
 
 
 def decode(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Parse JSON text once per type; adds `event_type`, one struct per type and `reject`.
+    """Parse JSON text; adds `event_type`, one struct per type, `mistyped` and `reject`.
 
-    A row keeps only the struct of its own type.  `reject` names why a row is
-    not an event, else it is NULL.
+    A row keeps only the struct of its own type.  Numbers given as text are
+    read, absent or null counters become 0 and absent timestamps the time of
+    reading.  `mistyped` names the fields whose text is not of their type (the
+    field is NULL).  `reject` names why a row is not an event, else it is NULL.
     """
     kind = F.get_json_object(F.col(value), "$.event_type")
     parsed = [
@@ -32,16 +59,20 @@ def decode(raw: DataFrame, value: str = "value") -> DataFrame:
         ).alias(name)
         for name, schema in SCHEMAS.items()
     ]
+    staged = raw.select("*", kind.alias("event_type"), *parsed, F.try_parse_json(F.col(value)).alias("_document"))
     # The JSON functions stop after the first value, so text behind it is
     # noticed by the missing closing brace.
     closed = F.endswith(F.rtrim(F.col(value)), F.lit("}"))
-    broken = ~F.coalesce(closed, F.lit(False)) | F.try_parse_json(F.col(value)).isNull()
-    reject = (
-        F.when(broken, BAD_JSON)
-        .when(kind.isNull() | ~kind.isin(*EVENT_TYPES), UNKNOWN_TYPE)
-        .alias("reject")
-    )
-    return raw.select("*", kind.alias("event_type"), *parsed, reject)
+    broken = ~F.coalesce(closed, F.lit(False)) | F.col("_document").isNull()
+    kind = F.col("event_type")
+    reject = F.when(broken, BAD_JSON).when(kind.isNull() | ~kind.isin(*EVENT_TYPES), UNKNOWN_TYPE)
+    records, mistyped = [], F.lit(None).cast("array<string>")
+    for name, schema in SCHEMAS.items():
+        pairs = [_completed(name, f, "_document") for f in schema.fields]
+        there = F.col(name).isNotNull()
+        records.append(F.when(there, F.struct(*[p[0] for p in pairs])).alias(name))
+        mistyped = F.when(there, F.array_compact(F.array(*[p[1] for p in pairs if p[1] is not None]))).otherwise(mistyped)
+    return staged.select(*raw.columns, "event_type", *records, mistyped.alias("mistyped"), reject.alias("reject"))
 
 
 def events_of(decoded: DataFrame, event_type: str) -> DataFrame:
@@ -178,11 +209,15 @@ def validate(df: DataFrame, event_type: str) -> DataFrame:
 
 
 def validate_decoded(decoded: DataFrame) -> DataFrame:
-    """Add `failed_rules` to decoded rows of all types in the same pass; NULL for rejects."""
+    """Add `failed_rules` to decoded rows of all types in the same pass; NULL for rejects.
+
+    Fields whose text is not of their type fail too.
+    """
     verdict = F.lit(None).cast("array<string>")
     for name, schema in SCHEMAS.items():
         mine = F.col("reject").isNull() & (F.col("event_type") == name)
-        verdict = F.when(mine, failed_rules(name, schema.fieldNames(), name)).otherwise(verdict)
+        failed = F.array_union(failed_rules(name, schema.fieldNames(), name), F.col("mistyped"))
+        verdict = F.when(mine, failed).otherwise(verdict)
     return decoded.withColumn("failed_rules", verdict)
 
 

@@ -1,11 +1,15 @@
 """Repeated ids, hot slices, number texts and time zones."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from hawkframe.functions.decisions import off_hours
+from hawkframe.ml.ensemble import EnsembleDetector
 from hawkframe.operators.alerts import attack_chains, number_text
 from hawkframe.operators.sliced import lookup_join
 from hawkframe.operators.state import latest_per_event
+from hawkframe.schemas import Settings
+from hawkframe.sources import parse
 
 
 def test_number_text(spark):
@@ -46,3 +50,31 @@ def test_latest_row_of_a_repeated_id(spark):
     df = spark.createDataFrame(rows, "source_ip string, event_id long, s long, bytes_sent long").withColumn("timestamp", F.timestamp_seconds("s"))
     got = latest_per_event(df).select("source_ip", "bytes_sent").collect()
     assert sorted((r[0], r[1]) for r in got) == [("a", 6), ("b", 7)]
+
+
+def test_ensemble_keeps_weights_and_threshold(spark, tmp_path):
+    rows = [(i, [float(i % 7), float(i % 5)], int(i % 7 > 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    small = {"random_forest": {"numTrees": 4, "maxDepth": 3}, "boosted_a": {"maxIter": 2, "maxDepth": 2}, "boosted_b": {"maxIter": 2, "maxDepth": 2}}
+    model = EnsembleDetector(Settings(random_forest_weight=0.2, boosted_a_weight=0.2, boosted_b_weight=0.6, decision_threshold=0.3)).fit(df, **small)
+    model.save(str(tmp_path / "m"))
+    again = EnsembleDetector.load(str(tmp_path / "m"))
+    assert again.weights == [0.2, 0.2, 0.6] and again.settings.decision_threshold == 0.3
+    lost = {r["feature"]: r["importance"] for r in model.permutation_importance(df, "id", "label", ["a", "b"], 3).collect()}
+    assert set(lost) == {"a", "b"} and lost["a"] > 0.2 > abs(lost["b"])
+    three = df.withColumn("label", F.col("id") % 3)
+    with pytest.raises(ValueError):
+        EnsembleDetector().fit(three, **small)
+
+
+def test_decoding_defaults_and_types(spark):
+    line = '{"event_type":"network","event_id":"%s","source_system":"z","source_ip":"10.0.0.1","destination_ip":"10.0.0.2","source_port":"80","destination_port":1,"protocol":"tcp"%s}'
+    tails = {"plain": "", "text": ',"bytes_sent":"abc"', "part": ',"bytes_sent":10.7', "time": ',"timestamp":"nope"', "large": ',"packets_sent":99999999999999999999'}
+    raw = spark.createDataFrame([(line % (k, t),) for k, t in tails.items()], "value string")
+    got = {r["network"]["event_id"]: r for r in parse.validate_decoded(parse.decode(raw)).collect()}
+    assert {k: r["failed_rules"] for k, r in got.items()} == {
+        "plain": [], "text": ["bytes_sent"], "part": ["bytes_sent"], "time": ["timestamp"], "large": ["packets_sent"]
+    }
+    plain = got["plain"]["network"]
+    assert (plain["source_port"], plain["bytes_sent"], plain["packets_received"]) == (80, 0, 0) and plain["timestamp"] is not None
+    assert got["time"]["network"]["timestamp"] is None
