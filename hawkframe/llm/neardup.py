@@ -6,6 +6,10 @@ region, which share the longest prefixes with it. A region that outgrows REGION_
 depth, and beyond that into chunks; the first class of each piece is also paired with the region's first, so no piece is
 cut off. Candidates are weighed by signature, then confirmed exactly: first each class's best partners, then
 every candidate that still joins two components. Pairs within a component cannot change the result.
+
+Neighbours do not cover a region of more than NEIGHBOURS + 1 classes. Where such a region (by the first DEPTH values
+alone) still holds several components, its classes meet all others of their kind through the rarest shingles of their
+full sets: every pair at the limit shares one, whatever its place in the regions.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ LEAST_AGREEMENT = 0.57
 NEIGHBOURS = 3
 BEST = 2
 REGION_ROWS = 4096
+# Shingles are ordered by the counts of so many buckets; any order gives all pairs, a true one fewer candidates.
+BUCKET_BITS = 20
 _RNG = np.random.default_rng(2024)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WEIGHTS = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,8 +119,8 @@ def forest(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("node", "signature"), run, "key long, o1 long, o2 long, node binary")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Different pairs (a < b) of neighbours in the sorted regions of all trees."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different pairs (a < b) of neighbours in the sorted regions of all trees, and (key, node) of the regions that have further pairs."""
     rows = forest(classes)
     large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_hub")).where(F.col("_n") > REGION_ROWS)
     large = durable(large.withColumnRenamed("key", "_key"))
@@ -125,12 +131,18 @@ def candidates(classes: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64("node"), F.coalesce(F.ceil(F.col("_m") / REGION_ROWS), F.lit(1)))
     deeper = deeper.withColumn("region", F.xxhash64("deep", chunk))
     hubs = deeper.groupBy("region").agg(F.min("node").alias("x"), F.min("_hub").alias("y")).select("x", "y")
-    regions = split.where(F.col("_hub").isNull()).select(F.col("key").alias("region"), "o1", "o2", "node")
-    regions = regions.unionByName(deeper.select("region", "o1", "o2", "node"))
+    sized = F.count(F.lit(1)).over(Window.partitionBy("region")) > NEIGHBOURS + 1
+    regions = split.where(F.col("_hub").isNull()).select(F.col("key").alias("region"), "key", "o1", "o2", "node", F.lit(False).alias("large"))
+    regions = regions.unionByName(deeper.select("region", "key", "o1", "o2", "node", F.lit(True).alias("large")))
     order = Window.partitionBy("region").orderBy("o1", "o2", "node")
-    near = regions.select(F.col("node").alias("x"), F.array(*[F.lag("node", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("ys"))
-    pairs = near.select("x", F.explode("ys").alias("y")).where(F.col("y").isNotNull()).unionByName(hubs)
-    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ys = F.array(*[F.lag("node", i).over(order) for i in range(1, NEIGHBOURS + 1)])
+    near = regions.select("key", F.col("node").alias("x"), ys.alias("ys"), (F.col("large") | sized).alias("crowded"))
+    # A row without y says that the region of x is crowded.
+    ys = F.concat(F.filter("ys", lambda y: y.isNotNull()), F.when(F.col("crowded"), F.array(F.lit(None).cast("binary"))).otherwise(F.array().cast("array<binary>")))
+    found = durable(near.select("key", "x", F.explode(ys).alias("y")))
+    pairs = found.select("x", "y").where(F.col("y").isNotNull()).unionByName(hubs)
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs, found.where(F.col("y").isNull()).select("key", F.col("x").alias("node"))
 
 
 def weighed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -185,11 +197,68 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "sa", "sb"), run, "a binary, b binary")
 
 
+def unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the classes in crowded regions of more than one component; a class without links is its own."""
+    own = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = own.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("key")
+    return own.join(mixed, "key", "left_semi").select("node", "label").distinct()
+
+
+def rare_partners(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a < b) of different components, among them every pair of the sets that reaches the limit.
+
+    With the shingles of all sets in one order, rare ones first, the longer set of such a pair (y at a tie of x and y, x < y) has a
+    shingle of its first n - ceil(3n / 4) + 1 among the first m - ceil(6m / 7) + 1 of the shorter; after the first such shingle, both have
+    the whole required intersection left. Per shingle, the most frequent component is not paired with itself.
+    """
+    shift = np.uint64(64 - BUCKET_BITS)
+
+    def count(columns):
+        every = np.frombuffer(b"".join(columns["set"]), np.uint64)
+        counts = np.bincount((every >> shift).astype(np.int64), minlength=1)
+        used = np.flatnonzero(counts)
+        return {"bucket": used, "n": counts[used]}
+
+    met = map_batches(sets.select("set"), count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[met["bucket"].to_numpy()] = met["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def heads(columns):
+        out = {"token": [], "at": [], "n": [], "node": [], "label": []}
+        for node, label, s in zip(columns["node"], columns["label"], columns["set"], strict=True):
+            s = np.frombuffer(s, np.uint64)
+            n = len(s)
+            first = s[np.lexsort((s, shared.value[(s >> shift).astype(np.int64)]))][: n - -(-PERCENT * n // 100) + 1]
+            out["token"] += first.view(np.int64).tolist()
+            out["at"] += range(len(first))
+            for name, value in (("n", n), ("node", node), ("label", label)):
+                out[name] += [value] * len(first)
+        return out
+
+    rows = durable(map_batches(sets.join(labels, "node"), heads, "token long, at int, n long, node binary, label binary"))
+    kinds = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = kinds.groupBy("token").agg(F.max_by("label", F.struct("_n", "label")).alias("_main"), F.count(F.lit(1)).alias("_kinds"))
+    kinds = durable(kinds.where("_kinds > 1").select("token", "_main"))
+    rows = rows.join(kinds, "token")
+    side = lambda df, s: df.select("token", *[F.col(c).alias(f"{c}{s}") for c in ("at", "n", "node", "label", "_main")])
+    x, y = side(rows.where(F.col("label") != F.col("_main")), "x"), side(rows, "y")
+    least = F.ceil((F.col("nx") + F.col("ny")) * PERCENT / F.lit(100 + PERCENT) - 1e-9)
+    before = F.struct("nx", "nodex") < F.struct("ny", "nodey")
+    short = lambda s: F.col(f"at{s}") <= F.col(f"n{s}") - F.ceil(F.col(f"n{s}") * 2 * PERCENT / F.lit(100 + PERCENT) - 1e-9)
+    fits = (F.col("labelx") != F.col("labely")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * PERCENT)
+    fits = fits & F.when(before, short("x")).otherwise(short("y")) & (F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= least)
+    # Where neither is of the main component the pair comes from both sides.
+    met = x.join(y, "token").where(fits)
+    return met.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' sets, and (node, rep, label) of their classes: the class's smallest id and its component."""
     every = durable(document_sets(docs))
     classes = durable(every.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")))
-    pairs = durable(weighed(candidates(classes), classes))
+    near, crowded = candidates(classes)
+    pairs = durable(weighed(near, classes))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = durable(full_sets(docs, classes.select("node", "rep").join(ends, "node", "left_semi")))
     both = pairs.select(F.col("a").alias("x"), "a", "b", "agreement").union(pairs.select(F.col("b").alias("x"), "a", "b", "agreement"))
@@ -200,7 +269,12 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
-    labels = components(links.union(confirmed(rest, sets)))
+    links = durable(links.union(confirmed(rest, sets)))
+    labels = components(links)
+    open_ = durable(unsettled(crowded, labels))
+    if open_.limit(1).count():
+        sets = durable(full_sets(docs, classes.select("node", "rep").join(open_, "node", "left_semi")))
+        labels = components(links.union(confirmed(durable(rare_partners(sets, open_)), sets)))
     return every, classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
