@@ -1,8 +1,10 @@
 """Whole results where caps, dilution or low orders would lose some."""
 
+import string
+
 import numpy as np
 
-from hawkframe.llm import neardup
+from hawkframe.llm import neardup, secrets
 
 
 def template_texts(seed=5, plain=300, paired=12):
@@ -41,3 +43,24 @@ def test_near_copies_inside_a_template_group(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(rows).collect()}
     assert [got[i] for i in range(len(texts))] == label
+
+
+def test_random_strings_of_letters_and_inside_runs():
+    rng = np.random.default_rng(3)
+    chars = np.array([*string.ascii_letters, *string.digits])
+    draw = lambda n, k: "".join(rng.choice(chars[:k], n))
+    spans = lambda t: secrets.random_spans(t, secrets.base_spans(t))
+    around = [("", ""), ("com/account/settings/password/reset/", ""), ("com/documents/public/download/session/", "/index/overview")]
+    for before, after in around:
+        for k in (52, 62):
+            hits = 0
+            for _ in range(100):
+                inner = draw(24, k)
+                hits += any(a <= 4 + len(before) + 2 and b >= 4 + len(before) + 22 for a, _, b in spans(f"see {before}{inner}{after} now"))
+            assert hits >= 95, (before, k)
+    secret = draw(24, 62)
+    text = f"password=abcdefgh/{secret} 550e8400-e29b-41d4-a716-446655440000/{secret}"
+    assert len(spans(text)) == 1 and text[spans(text)[0][0] :] == secret
+    ordinary = "com/account/settings/password/reset internationalization getUserAccountSettingsByName MAX_CONNECTION_TIMEOUT_SECONDS"
+    ordinary += " ---------------- aaaaaaaaaaaaaaaaaaaa /users/550e8400-e29b-41d4-a716-446655440000/profile"
+    assert spans(ordinary) == []
