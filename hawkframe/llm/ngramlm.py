@@ -23,7 +23,7 @@ from hawkframe.llm.common import durable, ensure_checkpoint_dir, fold_of, lowere
 from hawkframe.llm.eliasfano import EliasFano, from_buffer, to_bytes
 
 MU = 2.0
-ORDER = 2
+ORDER = 3
 END = b""
 # A byte stands for log10 values from 0 down in steps of STEP.
 STEP = 0.045

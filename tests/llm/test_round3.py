@@ -4,7 +4,7 @@ import string
 
 import numpy as np
 
-from hawkframe.llm import neardup, secrets
+from hawkframe.llm import neardup, ngramlm, secrets
 
 
 def template_texts(seed=5, plain=300, paired=12):
@@ -64,3 +64,13 @@ def test_random_strings_of_letters_and_inside_runs():
     ordinary = "com/account/settings/password/reset internationalization getUserAccountSettingsByName MAX_CONNECTION_TIMEOUT_SECONDS"
     ordinary += " ---------------- aaaaaaaaaaaaaaaaaaaa /users/550e8400-e29b-41d4-a716-446655440000/profile"
     assert spans(ordinary) == []
+
+
+def test_registered_order_uses_more_than_the_word_before(spark):
+    texts = ["a b c", "x b d"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    assert len(ngramlm.train(docs).levels) >= 3
+    model = ngramlm.train(docs)
+    seen, crossed = model.score(["a b c", "a b d"])["score"]
+    # After one word, c and d are alike; after two, only c is known.
+    assert seen > crossed + 0.3
