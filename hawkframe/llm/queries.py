@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hawkframe.llm import annsearch, decontaminate, linededup, mixing, neardup, ngramlm, permute, secrets, sharding, suffixdedup, toxicity, warc
+from hawkframe.llm import annsearch, decontaminate, linededup, mixing, neardup, ngramlm, permute, phrases, secrets, sharding, suffixdedup, toxicity, warc
 from hawkframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,26 @@ FROM m GROUP BY r, doc_id
 @query("op11_drop_shared_lines", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, list_slice(w, k, k + m - 1) AS g, count(*) AS f
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM p, range(1, 5) t(m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, unnest(range(1, len(g))) AS k FROM g WHERE len(g) > 1),
+s AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+    FROM c JOIN g x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN g y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.g ORDER BY score, k) = 1),
+i AS (SELECT lang, list_slice(g, j, j + m - 1) AS g, max(f) AS longer FROM g, range(2, 4) t(m), range(1, 4) u(j)
+    WHERE len(g) > m AND j + m - 1 <= len(g) GROUP BY ALL),
+o AS (SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN i ON i.lang = s.lang AND i.g = s.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op12_mine_phrases", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
