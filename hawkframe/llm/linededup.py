@@ -16,7 +16,9 @@ LEAST_CHARS = 40
 LEAST_DOCUMENTS = 5
 BLANK = " \t\n\x0b\x0c\r"
 # A hash that more than this share of all (line, document) pairs bear is hot: there are at most 1 / HOT_SHARE of them.
+# No hash is hot with fewer pairs than HOT_ROWS.
 HOT_SHARE = 1e-4
+HOT_ROWS = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,7 +55,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_documen
     shared = durable(shared.where(F.col("n") >= least_documents))
     # A hash with a large share of all lines is looked up in a broadcast table, which holds at most 1 / HOT_SHARE rows,
     # so that no task of the join by hash gets more of one hash than that share.
-    hot = F.col("n") > F.greatest(F.lit(1000), F.lit(HOT_SHARE) * lines.count())
+    hot = F.col("n") > F.greatest(F.lit(HOT_ROWS), F.lit(HOT_SHARE) * lines.count())
     verdicts = shared.where(~hot).select("h0", "h1", "last", F.lit(True).alias("cold"))
     found = lines.join(F.broadcast(shared.where(hot).select("h0", "h1", F.col("last").alias("hot_last"))), ["h0", "h1"], "left")
     at_once = found.where("hot_last is not null and not (id <=> hot_last)").select("id", "t0", "t1", "pos")

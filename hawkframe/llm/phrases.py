@@ -15,7 +15,7 @@ from __future__ import annotations
 import dataclasses
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -52,7 +52,7 @@ def _code_type(words: int) -> type:
     return np.uint16 if words < 1 << 16 else np.uint32
 
 
-def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYTES, number: Callable = word_ids) -> DataFrame:
     """Blocks of texts of one language: shard, lang, words (each once), ids, codes (places in ids from 1, 0 between pieces)."""
     import pyarrow as pa
 
@@ -66,7 +66,7 @@ def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYT
         def close(lang):
             codes, out, _ = open_blocks.pop(lang)
             words = [*codes]
-            row = {"lang": lang, "words": words, "ids": word_ids(words, lang, seed).tobytes(), "codes": np.array(out, _code_type(len(words))).tobytes(), "shard": next(nth) % shards}
+            row = {"lang": lang, "words": words, "ids": number(words, lang, seed).tobytes(), "codes": np.array(out, _code_type(len(words))).tobytes(), "shard": next(nth) % shards}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
@@ -244,7 +244,7 @@ class SharedNumber(Exception):
     """A frequent word has the number of another word under this seed."""
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, seed: int = 0, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, seed: int = 0, block_bytes: int = BLOCK_BYTES, number: Callable = word_ids) -> tuple[DataFrame, DataFrame]:
     """Words (w1, lang, word, total) and phrases of 2 to 4 words (w1..w4, total) that occur `least` times or more, exactly counted.
 
     All words are returned, whatever their count. Word numbers are told apart by seed: if a word at the threshold shares
@@ -252,14 +252,14 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, see
     """
     while True:
         try:
-            return _count_phrases(docs, least, shards, seed, block_bytes)
+            return _count_phrases(docs, least, shards, seed, block_bytes, number)
         except SharedNumber:
             seed += 1
 
 
-def _count_phrases(docs: DataFrame, least: int, shards: int, seed: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _count_phrases(docs: DataFrame, least: int, shards: int, seed: int, block_bytes: int, number: Callable) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    texts = durable(blocks(docs, shards, seed, block_bytes))
+    texts = durable(blocks(docs, shards, seed, block_bytes, number))
     enough = -(-least // shards)
     words = tally = None
     known = Known({}, {}, {})
@@ -314,7 +314,7 @@ def _part(first: int, n: int) -> F.Column:
     return F.array(*[F.col(w) for w in W[first : first + n]], *[F.lit(0).cast("long")] * (LONGEST - n))
 
 
-def mine_phrases(docs: DataFrame, least: int = LEAST, top: int | None = TOP, shards: int = SHARDS, seed: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = LEAST, top: int | None = TOP, shards: int = SHARDS, seed: int = 0, block_bytes: int = BLOCK_BYTES, number: Callable = word_ids) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the best `top` phrases of each language (None: all).
 
     `docs` has lang and text; further columns are ignored, whatever their names. A null language is `und`, a null text
