@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,10 +98,15 @@ class EliasFano:
         out[near] = begin
         return out
 
+    @functools.cached_property
+    def _ones(self) -> np.ndarray:
+        """Ones before each word of the high bits."""
+        return np.arange(len(self.zeros)) * 64 - self.zeros
+
     def access(self, index: np.ndarray) -> np.ndarray:
         """Values at the indexes."""
         index = np.asarray(index, np.int64)
-        ones = np.arange(len(self.zeros)) * 64 - self.zeros
+        ones = self._ones
         word = np.searchsorted(ones, index, "right") - 1
         place = word * 64 + _nth_one(self.high[word], index - ones[word])
         return ((place - index).astype(np.uint64) << np.uint64(self.bits)) | unpack(self.low, self.bits, index)

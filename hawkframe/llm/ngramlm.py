@@ -14,6 +14,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ STEP = 0.045
 # Tokens behind one file of a level, and bytes of text behind one file of level 1.
 FILE_TOKENS = 4_000_000
 FILE_TEXT_BYTES = 128 << 20
+# Text that a task turns into numbers at once.
+BATCH_BYTES = 8 << 20
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -42,6 +45,19 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
+def by_bytes(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[list[str | None]]:
+    """Runs of texts of about `most` characters together; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text or "") > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "")
+    if run:
+        yield run
+
+
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different tokens, all tokens as numbers of these (each text behind and before the end mark,
     which is number 0), and where each text's leading mark stands."""
@@ -76,17 +92,19 @@ def _spread(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclasses.dataclass(frozen=True)
 class Files:
-    """One level: for each file its path, first key and first place. Keys of a file are stored less its first key."""
+    """One level: for each file its path, first key, base and first place. Keys of a file are stored less its base, which
+    is where the context of its first key begins: a context may go on from one file to the next."""
 
     root: str
     paths: tuple[str, ...]
     first_key: np.ndarray
+    base: np.ndarray
     first_place: np.ndarray
     size: int
 
 
 @functools.lru_cache(maxsize=512)
-def _mapped(root: str, path: str) -> tuple[EliasFano, list[np.ndarray]]:
+def _mapped(root: str, path: str) -> tuple[EliasFano, EliasFano | None, list[np.ndarray]]:
     from pyarrow.fs import FileSystem, LocalFileSystem
 
     fs, _ = FileSystem.from_uri(root)
@@ -96,7 +114,9 @@ def _mapped(root: str, path: str) -> tuple[EliasFano, list[np.ndarray]]:
         with fs.open_input_file(path) as f:
             buffer = np.frombuffer(f.read_buffer(), np.uint8)
     arrays = from_buffer(buffer)
-    return EliasFano.from_arrays(*arrays[:4]), arrays[4:]
+    stored = arrays[4:]
+    pointers = EliasFano.from_arrays(*stored[POINTERS:COUNT]) if len(stored) > POINTERS else None
+    return EliasFano.from_arrays(*arrays[:4]), pointers, stored
 
 
 def look_up(level: Files, keys: np.ndarray, columns: tuple[int, ...] = ()) -> list[np.ndarray]:
@@ -108,12 +128,12 @@ def look_up(level: Files, keys: np.ndarray, columns: tuple[int, ...] = ()) -> li
     which = np.searchsorted(level.first_key, keys, "right") - 1
     for f in np.unique(which[which >= 0]).tolist():
         a, b = np.searchsorted(which, [f, f + 1])
-        sequence, stored = _mapped(level.root, level.paths[f])
-        local = keys[a:b] - level.first_key[f]
-        if len(stored) > POINTERS:
+        sequence, pointers, stored = _mapped(level.root, level.paths[f])
+        local = keys[a:b] - level.base[f]
+        if pointers is not None:
             # Pointers: the context's own range, by its place relative to the file's first context.
-            pointers = EliasFano.from_arrays(*stored[POINTERS:COUNT])
-            context = ((keys[a:b] >> np.uint64(int(stored[BITS][0]))) - (level.first_key[f] >> np.uint64(int(stored[BITS][0])))).astype(np.int64)
+            bits = np.uint64(int(stored[BITS][0]))
+            context = ((keys[a:b] >> bits) - (level.base[f] >> bits)).astype(np.int64)
             inside = context < pointers.n - 1
             context = np.minimum(context, pointers.n - 2)
             begin, end = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
@@ -137,9 +157,9 @@ def at_places(level: Files, places: np.ndarray, column: int | None) -> np.ndarra
     which = np.searchsorted(level.first_place, places, "right") - 1
     for f in np.unique(which).tolist():
         rows = np.flatnonzero(which == f)
-        sequence, stored = _mapped(level.root, level.paths[f])
+        sequence, _, stored = _mapped(level.root, level.paths[f])
         local = places[rows] - level.first_place[f]
-        out[rows] = sequence.access(local) + level.first_key[f] if column is None else stored[column][local]
+        out[rows] = sequence.access(local) + level.base[f] if column is None else stored[column][local]
     return out
 
 
@@ -207,10 +227,17 @@ class Model:
         above = at_places(self.levels[n - 2], contexts, COUNT)[inverse]
         key = (self.suffix(n - 1, contexts)[inverse].astype(np.uint64) << np.uint64(self.bits)) | word.astype(np.uint64)
         unique, inverse = np.unique(key, return_inverse=True)
-        return 10.0 ** (-STEP * look_up(self.levels[n - 2], unique, (CHANCE,))[1][inverse]), above
+        place, chance = look_up(self.levels[n - 2], unique, (CHANCE,))
+        if (place < 0).any():
+            raise LookupError(f"level {n - 1} lacks {int((place < 0).sum())} n-grams that end those of level {n}")
+        return 10.0 ** (-STEP * chance[inverse]), above
 
     def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Per text: tokens, known tokens, log10 probabilities under the words' shares and under the trie."""
+        made = [self._score(part) for part in by_bytes(texts)]
+        return {k: np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")}
+
+    def _score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         hashes, codes, starts = tokens(texts)
         place, count = self.words(hashes)
         word, count = place[codes], count[codes]
@@ -224,8 +251,6 @@ class Model:
             back = -STEP * next_back.astype(float)
         known = (count > 0).astype(np.int64)
         known[starts] = 0
-        if not len(starts):
-            return {k: np.zeros(0) for k in ("n_tokens", "n_known", "base_score", "score")}
         return {
             "n_tokens": np.diff(np.append(starts, len(codes))) - 1,
             "n_known": np.add.reduceat(known, starts),
@@ -245,14 +270,14 @@ def _write(folder: str, arrays: list[np.ndarray]) -> str:
     return path
 
 
-MANIFEST = "part long, path string, first long, size long, total long, cuts array<struct<place: long, share: double>>"
+MANIFEST = "part long, path string, first long, base long, size long, total long, cuts array<struct<place: long, share: double>>"
 
 
 def _narrow(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint32) if counts.max() < 1 << 32 else counts
 
 
-def _cuts(counts: np.ndarray, most: int = FILE_TOKENS) -> list[dict]:
+def _cuts(counts: np.ndarray, most: int) -> list[dict]:
     """Where the next level is cut into files of `most` tokens: places of contexts, and the share of the context before the cut."""
     running = np.cumsum(counts, dtype=np.int64)
     at = np.arange(most, int(running[-1]), most)
@@ -261,7 +286,7 @@ def _cuts(counts: np.ndarray, most: int = FILE_TOKENS) -> list[dict]:
     return [{"place": int(p), "share": float(s)} for p, s in zip(place, share, strict=True)]
 
 
-def _level(blobs: DataFrame, folder: str, bits: int, model: Model | None) -> DataFrame:
+def _level(blobs: DataFrame, folder: str, bits: int, model: Model | None, file_tokens: int) -> DataFrame:
     """Merge the counted blobs of each part and write its file; one row per committed file.
 
     Parts are ranges of keys, so neither a frequent word nor a frequent context makes one large.
@@ -287,7 +312,7 @@ def _level(blobs: DataFrame, folder: str, bits: int, model: Model | None) -> Dat
             relative = context - int(base >> np.uint64(bits))
             pointers = np.searchsorted(relative, np.arange(relative[-1] + 2))
             stored += [quantised(np.log10(chance)), quantised(np.log10(MU / (counts + MU))), np.array([bits]), *EliasFano.of(pointers).arrays(), _narrow(counts)]
-        row = {"part": int(table["part"][0].as_py()), "path": _write(folder, stored), "first": int(base), "size": len(keys), "total": int(counts.sum()), "cuts": _cuts(counts)}
+        row = {"part": int(table["part"][0].as_py()), "path": _write(folder, stored), "first": int(keys[0]), "base": int(base), "size": len(keys), "total": int(counts.sum()), "cuts": _cuts(counts, file_tokens)}
         return pa.Table.from_pylist([row], schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -302,8 +327,8 @@ def _files(manifest: DataFrame, folder: str) -> tuple[Files, list, int]:
     rows = sorted(manifest.collect(), key=lambda r: r["part"])
     sizes = [r["size"] for r in rows]
     places = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64) if rows else np.zeros(0, np.int64)
-    firsts = np.array([r["first"] for r in rows], np.uint64)
-    return Files(folder, tuple(r["path"] for r in rows), firsts, places, sum(sizes)), rows, sum(r["total"] for r in rows)
+    firsts, bases = (np.array([r[c] for r in rows], np.uint64) for c in ("first", "base"))
+    return Files(folder, tuple(r["path"] for r in rows), firsts, bases, places, sum(sizes)), rows, sum(r["total"] for r in rows)
 
 
 def _blobs(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> dict[str, list]:
@@ -317,7 +342,7 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> dict[str,
     return out
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
+def train(texts: DataFrame, order: int = ORDER, file_tokens: int = FILE_TOKENS, file_text_bytes: int = FILE_TEXT_BYTES) -> Model:
     """Count all texts (column `text`; null counts as empty) and write the levels of the trie to the shared folder.
 
     Each task sends every part of a level one compressed block of its distinct keys with their counts, so
@@ -328,17 +353,18 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     root = root if ":/" in root else f"file://{root}"
     texts = texts.select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // FILE_TEXT_BYTES))
+    parts = max(1, -(-total // file_text_bytes))
 
     def count_words(columns):
-        hashes, codes, starts = tokens(columns["text"])
-        counts = np.bincount(codes, minlength=len(hashes))
-        counts[0] -= len(starts)
-        order_ = np.argsort(hashes)
-        hashes, counts = hashes[order_], counts[order_]
-        return _blobs(hashes[counts > 0], counts[counts > 0], ((hashes[counts > 0] >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32))
-
-    level, rows, n = _files(_level(map_batches(texts, count_words, "part long, keys binary, counts binary"), f"{root}/1", 0, None), f"{root}/1")
+        for some in by_bytes(columns["text"]):
+            hashes, codes, starts = tokens(some)
+            counts = np.bincount(codes, minlength=len(hashes))
+            counts[0] -= len(starts)
+            order_ = np.argsort(hashes)
+            hashes, counts = hashes[order_], counts[order_]
+            yield _blobs(hashes[counts > 0], counts[counts > 0], ((hashes[counts > 0] >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32))
+
+    level, rows, n = _files(_level(map_batches(texts, count_words, "part long, keys binary, counts binary"), f"{root}/1", 0, None, file_tokens), f"{root}/1")
     model = Model((level,), n, level.size)
     for k in range(2, order + 1):
         bounds = [(int(p) << model.bits) + int(share * model.types) for r, first in zip(rows, level.first_place, strict=True) for p, share in [(first, 0.0), *((first + c["place"], c["share"]) for c in r["cuts"])]]
@@ -346,15 +372,16 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
 
         def count_grams(columns, k=k, shared=shared):
             model, bounds = shared.value
-            hashes, codes, starts = tokens(columns["text"])
-            word = model.words(hashes)[0][codes]
-            context = word
-            for j in range(2, k):
-                context = model.find(context, word, starts, j)[1]
-            keys, counts = np.unique(model.step(context, word, starts, k)[1], return_counts=True)
-            return _blobs(keys, counts, np.searchsorted(bounds, keys, "right") - 1)
-
-        made = _level(map_batches(texts, count_grams, "part long, keys binary, counts binary"), f"{root}/{k}", model.bits, model)
+            for some in by_bytes(columns["text"]):
+                hashes, codes, starts = tokens(some)
+                word = model.words(hashes)[0][codes]
+                context = word
+                for j in range(2, k):
+                    context = model.find(context, word, starts, j)[1]
+                keys, counts = np.unique(model.step(context, word, starts, k)[1], return_counts=True)
+                yield _blobs(keys, counts, np.searchsorted(bounds, keys, "right") - 1)
+
+        made = _level(map_batches(texts, count_grams, "part long, keys binary, counts binary"), f"{root}/{k}", model.bits, model, file_tokens)
         level, rows, _ = _files(made, f"{root}/{k}")
         model = dataclasses.replace(model, levels=(*model.levels, level))
     return model
@@ -370,8 +397,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_report(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score_report(docs: DataFrame, order: int = ORDER, **sizes: int) -> DataFrame:
     """Train on the documents whose crc32(doc_id) mod 5 is not 1 (a null id counts as empty text, 0), score all."""
-    model = train(docs.where(fold_of("doc_id") != 1), order)
+    model = train(docs.where(fold_of("doc_id") != 1), order, **sizes)
     scores = score_documents(docs, model)
     return scores.select("doc_id", (fold_of("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

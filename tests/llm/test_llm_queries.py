@@ -96,10 +96,10 @@ def check_repeats(rows, got):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest())
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_equals_plain_counts(spark, sf, order):
+@pytest.mark.parametrize("order,sizes", [(2, {}), (3, {}), (3, {"file_tokens": 3000, "file_text_bytes": 100_000})])
+def test_language_model_equals_plain_counts(spark, sf, order, sizes):
     docs = table(spark, sf, "documents")
-    got = {r.doc_id: r for r in ngramlm.score_report(docs, order).collect()}
+    got = {r.doc_id: r for r in ngramlm.score_report(docs, order, **sizes).collect()}
     tokens = {i: [*t.encode().lower().split(), b""] for i, t, _ in documents(spark, sf)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     grams: Counter = Counter()
