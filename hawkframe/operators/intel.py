@@ -65,34 +65,40 @@ def ioc_match_counts(
     return hits.groupBy(id_col).agg(F.count("_hit").alias("ioc_matches"))
 
 
-def add_country(
+def with_country(
     events: DataFrame, ranges: DataFrame, ip: str = "source_ip", alias: str = "country"
 ) -> DataFrame:
-    """Country of an address from non-overlapping (start_ip, end_ip, country) ranges.
+    """Country of an address from non-overlapping (start_ip, end_ip, country) ranges, null where none holds it.
 
-    Distinct addresses are looked up, each range only in the /16 blocks it
-    covers; the result is joined back by address.
+    Each /16 block has one row with its ranges as sorted arrays (at most 65,536 of them); an event meets that row
+    once and is searched in it by halving, so no event or address is shuffled twice or joined back.
     """
     blocks = ranges.select(
-        F.col("start_ip").alias("_lo"),
-        F.col("end_ip").alias("_hi"),
-        F.col("country").alias(alias),
-        F.explode(
-            F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))
-        ).alias("_block"),
-    )
-    addresses = (
-        events.select(ip)
-        .distinct()
-        .withColumn("_n", ipv4_to_long(F.col(ip)))
-        .withColumn("_block", F.shiftright("_n", 16))
+        F.col("start_ip").alias("lo"),
+        F.col("end_ip").alias("hi"),
+        F.col("country").alias("name"),
+        F.explode(F.sequence(F.shiftright("start_ip", 16), F.shiftright("end_ip", 16))).alias("_block"),
     )
-    found = (
-        lookup_join(addresses, blocks, ["_block"], "inner")
-        .filter(F.col("_n").between(F.col("_lo"), F.col("_hi")))
-        .select(ip, alias)
-    )
-    return lookup_join(events, found, [ip])
+    blocks = blocks.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "name"))).alias("_ranges"))
+    number = ipv4_to_long(F.col(ip))
+    found = lookup_join(events.withColumn("_n", number).withColumn("_block", F.shiftright("_n", 16)), blocks, ["_block"])
+    # Seventeen halvings tell the last of up to 65,536 ranges that starts at or before the address.
+    def halve(state, _):
+        middle = (state["a"] + state["b"]).cast("int") / 2
+        middle = F.floor(middle).cast("int")
+        right = state["r"][middle]["lo"] <= state["n"]
+        return F.struct(F.when(right, middle).otherwise(state["a"]).alias("a"), F.when(right, state["b"]).otherwise(middle).alias("b"), state["r"].alias("r"), state["n"].alias("n"))
+
+    start = F.struct(F.lit(0).alias("a"), F.size("_ranges").alias("b"), F.col("_ranges").alias("r"), F.col("_n").alias("n"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(17)), start, halve, lambda s: s["r"][s["a"]])
+    hit = F.when(F.col("_ranges").isNotNull(), last)
+    return found.withColumn("_hit", hit).select(*events.columns, F.when((F.col("_n") >= F.col("_hit.lo")) & (F.col("_n") <= F.col("_hit.hi")), F.col("_hit.name")).alias(alias))
+
+
+def add_country(
+    events: DataFrame, ranges: DataFrame, ip: str = "source_ip", alias: str = "country"
+) -> DataFrame:
+    return with_country(events, ranges, ip, alias)
 
 
 def add_tactics(events: DataFrame, techniques: str, tactics: DataFrame) -> DataFrame:

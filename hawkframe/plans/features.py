@@ -47,14 +47,21 @@ def extract_features(
     windows = {**WINDOWS, **(windows or {})}
     matched = matched_rules(rules) if rules and not compat else None
     techniques = technique_list(matched) if matched is not None else F.array().cast("array<string>")
-    rows = events.select(
-        "event_id",
-        "timestamp",
-        "source_ip",
-        "destination_ip",
-        "destination_port",
-        "protocol",
-        "bytes_sent",
+    rows = events.select(*NARROW, *narrowed(techniques))
+    # A repeated event id of a source counts once, with its latest time.
+    rows = durable(latest_per_event(rows))
+    rows = _coded(rows, windows) if compat else _designed(rows, windows, ranges, assets)
+    rows = add_reputation(rows, reputation) if reputation is not None else _zero(rows, "ip_reputation_score")
+    rows = add_ioc_flag(rows, iocs) if iocs is not None else _zero(rows, "ioc_matches")
+    return model_input(rows)
+
+
+NARROW = ["event_id", "timestamp", "source_ip", "destination_ip", "destination_port", "protocol", "bytes_sent"]
+
+
+def narrowed(techniques: Column) -> list[Column]:
+    """What an event says by itself: long texts as numbers, flags, matched techniques."""
+    return [
         entropy(F.col("payload")).alias("payload_entropy"),
         entropy(F.col("dns_query")).alias("dns_entropy"),
         entropy(F.col("http_user_agent")).alias("http_ua_entropy"),
@@ -64,16 +71,29 @@ def extract_features(
         (F.col("protocol") == "ssh").alias("is_ssh"),
         techniques.alias("mitre_techniques"),
         F.size(techniques).alias("mitre_technique_count"),
-    )
-    # A repeated event id of a source counts once, with its latest time.
-    rows = durable(latest_per_event(rows))
-    rows = _coded(rows, windows) if compat else _designed(rows, windows, ranges, assets)
-    rows = add_reputation(rows, reputation) if reputation is not None else _zero(rows, "ip_reputation_score")
-    rows = add_ioc_flag(rows, iocs) if iocs is not None else _zero(rows, "ioc_matches")
-    head = ["event_id", "timestamp", "source_ip", "destination_ip", "destination_port", "protocol"]
+    ]
+
+
+def model_input(rows: DataFrame) -> DataFrame:
+    """The event's head and the model input in its fixed order."""
+    head = [c for c in NARROW if c != "bytes_sent"]
     return rows.select(*head, "mitre_techniques", *[_as_number(rows, f) for f in FEATURES])
 
 
+def session_form(rows: DataFrame, windows: Mapping[str, int]) -> DataFrame:
+    """Session counts stand for those of all windows; what needs tables of its own is constant."""
+    return rows.select(
+        "*",
+        *[F.col("unique_dst_ips").alias(f"unique_dst_ips_{w}") for w in windows],
+        *[F.col("unique_dst_ports").alias(f"unique_dst_ports_{w}") for w in windows],
+        F.col("unique_protocols").alias("unique_protocols_1min"),
+        F.col("bytes_sent").cast("double").alias("payload_size_mean"),
+        F.lit(0.0).alias("payload_size_stddev"),
+        F.lit(False).alias("is_new_country"),
+        F.lit(0.0).alias("peer_deviation_score"),
+    )
+
+
 def _zero(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.lit(0))
 
@@ -102,16 +122,7 @@ def _coded(rows: DataFrame, windows: Mapping[str, int]) -> DataFrame:
     out = trailing(rows, windows)
     for family in (seen, novel):
         out = null_safe_join(out, family, KEY)
-    return out.select(
-        "*",
-        *[F.col("unique_dst_ips").alias(f"unique_dst_ips_{w}") for w in windows],
-        *[F.col("unique_dst_ports").alias(f"unique_dst_ports_{w}") for w in windows],
-        F.col("unique_protocols").alias("unique_protocols_1min"),
-        F.col("bytes_sent").cast("double").alias("payload_size_mean"),
-        F.lit(0.0).alias("payload_size_stddev"),
-        F.lit(False).alias("is_new_country"),
-        F.lit(0.0).alias("peer_deviation_score"),
-    )
+    return session_form(out, windows)
 
 
 def _designed(

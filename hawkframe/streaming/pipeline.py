@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hawkframe.functions.decisions import is_http, off_hours
-from hawkframe.functions.text import entropy
-from hawkframe.operators.intel import add_ioc_flag, add_reputation
+from hawkframe.operators.intel import add_ioc_flag, add_reputation, with_country
+from hawkframe.operators.rules import Rule, matched_rules, technique_list
+from hawkframe.plans.features import NARROW, model_input, narrowed, session_form
 from hawkframe.plans.scoring import score_features
-from hawkframe.schemas import FEATURES, SCHEMAS, WINDOWS
+from hawkframe.schemas import SCHEMAS, WINDOWS
 from hawkframe.sources.connectors import write_alert_batch
 from hawkframe.sources.parse import decode, events_of, quarantine, split_valid, validate
-from hawkframe.streaming.state import history_features
+from hawkframe.streaming.state import WATERMARK, history_features, window_features
 
 
 def start(
@@ -80,47 +80,41 @@ def consume(
 
 def stream_features(
     events: DataFrame,
-    windows: Mapping[str, int] = WINDOWS,
+    windows: Mapping[str, int] | None = None,
+    compat: bool = False,
     reputation: DataFrame | None = None,
     iocs: DataFrame | None = None,
+    rules: list[Rule] | None = None,
+    ranges: DataFrame | None = None,
+    peers: DataFrame | None = None,
+    expire: str = "event",
+    watermark: str = WATERMARK,
 ) -> DataFrame:
-    """The session form of the feature vector on a stream of network events."""
-    rows = events.select(
-        "event_id",
-        "timestamp",
-        "source_ip",
-        "destination_ip",
-        "destination_port",
-        "protocol",
-        "bytes_sent",
-        entropy(F.col("payload")).alias("payload_entropy"),
-        entropy(F.col("dns_query")).alias("dns_entropy"),
-        entropy(F.col("http_user_agent")).alias("http_ua_entropy"),
-    )
-    rows = history_features(rows, windows)
-    zero = F.lit(0)
-    rows = rows.withColumns(
-        {
-            **{f"unique_dst_ips_{w}": F.col("unique_dst_ips") for w in windows},
-            **{f"unique_dst_ports_{w}": F.col("unique_dst_ports") for w in windows},
-            "unique_protocols_1min": F.col("unique_protocols"),
-            "payload_size_mean": F.col("bytes_sent").cast("double"),
-            "payload_size_stddev": F.lit(0.0),
-            "is_novel_port": F.col("is_novel_port").cast("int"),
-            "is_new_country": zero,
-            "off_hours_activity": off_hours(F.col("timestamp")).cast("int"),
-            "peer_deviation_score": F.lit(0.0),
-            "mitre_technique_count": zero,
-            "mitre_techniques": F.array().cast("array<string>"),
-            "is_http": is_http(F.col("protocol")).cast("int"),
-            "is_dns": (F.col("protocol") == "dns").cast("int"),
-            "is_ssh": (F.col("protocol") == "ssh").cast("int"),
-        }
-    )
-    rows = add_reputation(rows, reputation) if reputation is not None else rows.withColumn("ip_reputation_score", zero)
-    rows = add_ioc_flag(rows, iocs) if iocs is not None else rows.withColumn("ioc_matches", zero)
-    head = ["event_id", "timestamp", "source_ip", "destination_ip", "destination_port", "protocol"]
-    return rows.select(*head, "mitre_techniques", *FEATURES)
+    """The feature vector on a stream of network events: the columns and, for input in time order, the numbers of `extract_features`.
+
+    `compat` gives the session form. Deviations from peers need whole groups, so they come from `peers` (source_ip,
+    peer_deviation_score), the table that `peer_scores` makes of the last finished period; unknown sources get 0.
+    `expire` and `watermark` say how state goes, see `streaming.state`.
+    """
+    windows = {**WINDOWS, **(windows or {})}
+    matched = matched_rules(rules) if rules and not compat else None
+    techniques = technique_list(matched) if matched is not None else F.array().cast("array<string>")
+    rows = events.select(*NARROW, *narrowed(techniques))
+    if compat:
+        rows = history_features(rows, windows, expire=expire, watermark=watermark)
+        rows = session_form(rows, windows)
+    else:
+        rows = with_country(rows, ranges) if ranges is not None else rows
+        rows = window_features(rows, windows, expire=expire, watermark=watermark)
+        rows = rows if ranges is not None else rows.withColumn("is_new_country", F.lit(False))
+        if peers is None:
+            rows = rows.withColumn("peer_deviation_score", F.lit(0.0))
+        else:
+            known = peers.select("source_ip", "peer_deviation_score")
+            rows = rows.join(known, "source_ip", "left").withColumn("peer_deviation_score", F.coalesce("peer_deviation_score", F.lit(0.0)))
+    rows = add_reputation(rows, reputation) if reputation is not None else rows.withColumn("ip_reputation_score", F.lit(0))
+    rows = add_ioc_flag(rows, iocs) if iocs is not None else rows.withColumn("ioc_matches", F.lit(0))
+    return model_input(rows)
 
 
 def score_stream(

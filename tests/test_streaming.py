@@ -1,16 +1,20 @@
 """Streams over small file sources, compared with the batch functions."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from hawkframe.catalog.tables import alerts, network
+from hawkframe.catalog.feature_queries import PORT_RULES
+from hawkframe.catalog.tables import alerts, assets, network, ranges
+from hawkframe.operators.intel import peer_scores
 from hawkframe.operators.limiter import limit_calls
-from hawkframe.operators.state import novel_in_session, session_distinct, trailing
+from hawkframe.operators.state import not_seen_within, novel_in_session, session_distinct, trailing
 from hawkframe.operators.tumbling import tumble_features
 from hawkframe.plans.features import extract_features
 from hawkframe.schemas import FEATURES
 from hawkframe.sources.connectors import read_json_lines
 from hawkframe.streaming.pipeline import consume, score_stream, stream_features
-from hawkframe.streaming.state import history_features, limit_stream
+from hawkframe.streaming.state import history_features, limit_stream, window_features
 from hawkframe.streaming.windows import late_rows, session_stream, suppress_repeats, tumbling_stream
 
 WINDOWS = {"1min": 60, "5min": 300, "1hour": 3600, "1day": 86400}
@@ -51,12 +55,111 @@ def test_history_features_equal_batch(spark, sf, tmp_path):
 
 def test_stream_vector_equals_batch_vector(spark, sf, tmp_path):
     n = network(spark, sf).drop("user_id", "kind", "value", "stage")
-    _run(stream_features(_stream(spark, n, str(tmp_path / "in"), 2)), "vector")
+    _run(stream_features(_stream(spark, n, str(tmp_path / "in"), 2), compat=True), "vector")
     expected = extract_features(n, compat=True)
     show = ["event_id", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in FEATURES]]
     assert _rows(spark.table("vector"), *show) == _rows(expected, *show)
 
 
+def test_stream_vector_equals_designed_vector(spark, sf, tmp_path):
+    n = network(spark, sf).drop("user_id", "kind", "value", "stage")
+    ips = n.select("destination_ip").distinct().limit(20).persist()
+    given = {"iocs": ips, "rules": PORT_RULES, "ranges": ranges(spark, sf)}
+    windows = {"1min": 3600, "5min": 6 * 3600, "1hour": 86400}
+    peers = peer_scores(n, assets(spark, sf))
+    stream = stream_features(_stream(spark, n, str(tmp_path / "in"), 4), windows, peers=peers, **given)
+    _run(stream, "designed")
+    expected = extract_features(n, windows, assets=assets(spark, sf), **given)
+    assert stream.columns == expected.columns
+    show = ["event_id", "mitre_techniques", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in FEATURES]]
+    got = _rows(spark.table("designed"), *show)
+    assert got == _rows(expected, *show) and len(got) == n.count()
+    assert len({r[2 + FEATURES.index("unique_dst_ips_1hour")] for r in got}) > 2
+
+
+def _timed_rows(spark, path, rows):
+    """One file, and so one micro-batch, per row or list of rows of (event_id, source, port, time)."""
+    schema = "event_id long, source_ip string, destination_ip string, destination_port int, protocol string, bytes_sent long, ts string"
+    for some in rows:
+        df = spark.createDataFrame([(i, s, f"d{p}", p, "tcp", b, t) for i, s, p, b, t in some], schema)
+        df = df.withColumn("timestamp", F.col("ts").cast("timestamp_ntz")).drop("ts")
+        df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+STATES = {"window": ["ring", "uses", "is_novel_port"], "history": ["times", "seen", "ports"], "limit": ["log"]}
+
+
+@pytest.mark.parametrize("kind", list(STATES))
+def test_state_of_a_silent_source_goes(spark, tmp_path, kind):
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    rows = [[(1, "silent", 80, 10, day(1)), (2, "silent", 81, None, day(1)), (3, "busy", 80, 5, day(1))]]
+    rows += [[(10 + d, "busy", 80 + d, d, day(d))] for d in (2, 3, 4, 5)] + [[(20, "silent", 80, 7, day(6))]]
+    stream = _timed_rows(spark, str(tmp_path / "in"), rows[:-1])
+    windows = {"1min": 60, "5min": 300, "1hour": 3600}
+    made = {
+        "window": lambda: window_features(stream, windows, port_s=86400),
+        "history": lambda: history_features(stream, windows, port_s=86400),
+        "limit": lambda: limit_stream(stream, 1, 3600),
+    }[kind]
+    sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def go():
+        q = made().writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    go()
+    for name in STATES[kind]:
+        left = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+        keys = {r[0].source_ip if hasattr(r[0], "source_ip") else r[0][0] for r in left.load().select("key").collect()}
+        assert keys <= {"busy"}, name
+    # After its silence the source starts anew.
+    _timed_rows(spark, str(tmp_path / "in"), rows[-1:])
+    go()
+    back = spark.read.parquet(sink).where("event_id = 20").first()
+    assert spark.read.parquet(sink).count() == 8
+    if kind == "limit":
+        assert back.allowed
+    else:
+        assert back.is_novel_port and back.conn_count_1hour == 0
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_state_with_a_time_to_live(spark, sf, tmp_path, compat):
+    n = network(spark, sf).drop("user_id", "kind", "value", "stage")
+    stream = stream_features(_stream(spark, n, str(tmp_path / "in"), 2), compat=compat, expire="processing")
+    name = f"lives_{compat}".lower()
+    _run(stream, name)
+    expected = extract_features(n, compat=compat)
+    show = ["event_id", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in FEATURES]]
+    assert _rows(spark.table(name), *show) == _rows(expected, *show)
+    with pytest.raises(ValueError):
+        stream_features(n, expire="never")
+
+
+def test_window_features_at_edges(spark, tmp_path):
+    """Equal moments, window bounds, nulls and repeated values against sets."""
+    rng = np.random.default_rng(6)
+    rows, t = [], 0
+    for i in range(240):
+        t += int(rng.choice([0, 0, 1, 29, 30, 61, 400]))
+        b = None if rng.random() < 0.1 else int(rng.integers(1 << 40))
+        port = None if rng.random() < 0.1 else int(rng.integers(6))
+        rows.append((i, "ab"[int(rng.random() < 0.3)], port, b, str(np.datetime64("2024-01-01") + np.timedelta64(t, "s")).replace("T", " ")))
+    windows = {"1min": 60, "5min": 300, "1hour": 1200}
+    stream = _timed_rows(spark, str(tmp_path / "in"), [rows[k : k + 60] for k in range(0, 240, 60)])
+    _run(window_features(stream, windows, port_s=400), "edges")
+    batch = spark.read.schema(stream.schema).parquet(str(tmp_path / "in")).persist()
+    want = trailing(
+        batch, windows, {"unique_dst_ports": list(windows), "unique_protocols": ["1min"]}, {"bytes_sent": "1hour"}, {"unique_dst_ports": "destination_port", "unique_protocols": "protocol"}
+    )
+    want = not_seen_within(want, "destination_port", "is_novel_port", 400)
+    names = [*[f"conn_count_{w}" for w in windows], *[f"unique_dst_ports_{w}" for w in windows], "unique_protocols_1min", "is_novel_port"]
+    assert _rows(spark.table("edges"), "event_id", *names) == _rows(want, "event_id", *names)
+    near = lambda df, m, s: {r[0]: (None if r[1] is None else round(r[1], 3), None if r[2] is None else round(r[2], 2)) for r in df.select("event_id", m, s).collect()}
+    assert near(spark.table("edges"), "payload_size_mean", "payload_size_stddev") == near(want, "bytes_sent_mean", "bytes_sent_stddev")
+
+
 def test_limit_stream_equals_batch(spark, sf, tmp_path):
     calls = network(spark, sf).select("event_id", "source_ip", "timestamp")
     _run(limit_stream(_stream(spark, calls, str(tmp_path / "in")), 2, 86400), "limited")
