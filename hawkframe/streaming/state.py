@@ -282,7 +282,7 @@ class WindowHistory(Expiring):
         spread = np.array([max(int(k) * y - x * x, 0) for x, y, k in zip(one, two, n, strict=True)], float)
         deviation = np.where(n > 1, np.sqrt(spread / np.maximum(n * (n - 1.0), 1.0)), 0.0)
         out["payload_size_mean"] = np.where(given, mean, np.nan)
-        out["payload_size_stddev"] = np.where(given | (n == 1), deviation, np.nan)
+        out["payload_size_stddev"] = np.where(given, deviation, 0.0)
         return out
 
     def _distinct(self, prefix: str, known: dict[str, int], t: np.ndarray, used: list[str], wanted: Sequence[str]) -> dict[str, Sequence]:
@@ -394,15 +394,15 @@ def window_features(
     `events` has such a column. A late row that the watermark lets pass sees last uses that are newer than itself.
     """
     distinct = {"unique_dst_ips": ("destination_ip", list(windows)), "unique_dst_ports": ("destination_port", list(windows)), "unique_protocols": ("protocol", ["1min"])}
-    novel = {"is_novel_port": ("_port_text", port_s)} | ({"is_new_country": ("country", country_s)} if "country" in events.columns else {})
+    novel = {"is_novel_port": ("port_text", port_s)} | ({"is_new_country": ("country", country_s)} if "country" in events.columns else {})
     extra = [(f"conn_count_{w}", T.LongType()) for w in windows]
     extra += [("payload_size_mean", T.DoubleType()), ("payload_size_stddev", T.DoubleType())]
     extra += [(f"{p}_{w}", T.LongType()) for p, (_, wanted) in distinct.items() for w in wanted]
     extra += [(n, T.BooleanType()) for n in novel]
     port = F.coalesce(F.col("destination_port").cast("string"), F.lit("none"))
-    rows = events.withColumn("t_us", micros(events, ts)).withColumn("_port_text", port)
+    rows = events.withColumn("t_us", micros(events, ts)).withColumn("port_text", port)
     processor = WindowHistory(windows, distinct, "1hour", novel, expire)
-    return _keyed(rows, key, processor, extra, watermark).drop("_port_text")
+    return _keyed(rows, key, processor, extra, watermark).drop("port_text")
 
 
 class CallLog(Expiring):

