@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hawkframe.operators.sliced import micros
 from hawkframe.sources.parse import JSON_TIME, partition_key, topic
 
 
@@ -87,25 +88,45 @@ def write_kafka(df: DataFrame, servers: str) -> None:
     rows.write.format("kafka").options(**kafka_sink_options(servers)).save()
 
 
+def utc_day(df: DataFrame, ts: str = "timestamp") -> Column:
+    """Day of a timestamp in UTC, whatever the session's zone; a zone-free one is taken as UTC."""
+    return F.date_from_unix_date(F.floor(micros(df, ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def write_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """Alert table partitioned by day, so retention and reports prune by folder."""
-    alerts.withColumn("alert_date", F.to_date("timestamp")).write.mode(mode).partitionBy(
-        "alert_date"
-    ).parquet(path)
+    alerts.withColumn("alert_date", utc_day(alerts)).write.mode(mode).partitionBy("alert_date").parquet(path)
 
 
 def write_alert_batch(alerts: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch so that a retried batch replaces itself."""
-    out = alerts.withColumn("alert_date", F.to_date("timestamp")).withColumn(
-        "batch_id", F.lit(batch_id)
-    )
+    """Write one micro-batch below its days, so that a retried batch replaces itself and readers prune by day."""
+    out = alerts.withColumn("alert_date", utc_day(alerts)).withColumn("batch_id", F.lit(batch_id))
     (
         out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "alert_date")
+        .partitionBy("alert_date", "batch_id")
         .parquet(path)
     )
 
 
+def compact_alerts(spark: SparkSession, path: str, archive: str, day: str, file_rows: int = 1_000_000) -> None:
+    """One day's micro-batches as few large files of the archive, one row per alert (that of the latest batch).
+
+    Only that day is read, and only its folder of the archive is replaced, so repeating it changes nothing. Run it for days
+    that get no more alerts; `path` may then drop them by its own expiry rule.
+    """
+    rows = spark.read.parquet(path).where(F.col("alert_date") == F.lit(day).cast("date"))
+    data = [c for c in rows.columns if c != "alert_id"]
+    latest = rows.groupBy("alert_id").agg(F.max_by(F.struct(*data), F.struct("batch_id", F.xxhash64(*data))).alias("_row"))
+    latest = latest.select("alert_id", *[F.col(f"_row.{c}").alias(c) for c in data if c != "batch_id"])
+    (
+        latest.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_rows)
+        .partitionBy("alert_date")
+        .parquet(archive)
+    )
+
+
 def write_json_lines(rows: DataFrame, path: str, column: str = "value", mode: str = "append") -> None:
     rows.select(column).write.mode(mode).text(path)

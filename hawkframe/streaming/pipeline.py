@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,22 +39,67 @@ def start(
     return writer.start()
 
 
+class _Enough(Exception):
+    """Raised at a micro-batch that must not be taken any more, so that its offsets are not committed."""
+
+
+class Consumption:
+    """A running consumer: its query, and how many messages were handed on and how many rejected so far."""
+
+    def __init__(self, max_messages: int | None = None) -> None:
+        self.max_messages = max_messages
+        self.processed = self.rejected = 0
+        self.query: StreamingQuery | None = None
+
+    @property
+    def enough(self) -> bool:
+        return self.max_messages is not None and self.processed >= self.max_messages
+
+    def wait(self, timeout_s: float | None = None) -> int:
+        """Wait until the query ends, `max_messages` are reached or the time is up; the number of messages processed."""
+        end = None if timeout_s is None else time.monotonic() + timeout_s
+        try:
+            while not self.query.awaitTermination(0.5):
+                if self.enough:
+                    self.query.stop()
+                elif end is not None and time.monotonic() >= end:
+                    break
+        except StreamingQueryException:
+            if not self.enough:
+                raise
+        return self.processed
+
+    def stop(self) -> int:
+        self.query.stop()
+        return self.processed
+
+    def awaitTermination(self) -> None:  # noqa: N802  (named as in the query it stands for)
+        self.wait()
+
+
 def consume(
     raw: DataFrame,
     handlers: Mapping[str, Callable[[DataFrame, int], None]],
     quarantine_path: str,
     checkpoint: str,
     every: str | None = None,
-) -> StreamingQuery:
+    max_messages: int | None = None,
+) -> Consumption:
     """Decode raw JSON and hand the valid events of each type to its callback.
 
-    Rejected lines and events that break a rule go to the quarantine table
-    with the reason; they never stop the stream.
+    Rejected lines and events that break a rule go to the quarantine table with the reason; they never stop the stream,
+    and do not count as processed. Messages are taken and committed by micro-batch: with `max_messages` no further
+    batch is begun once that many were processed, so a run exceeds it by less than a batch (bound those at the source, by
+    `maxOffsetsPerTrigger` or `maxFilesPerTrigger`), and a later run goes on with the next message.
     """
+    run = Consumption(max_messages)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        if run.enough:
+            raise _Enough
         decoded = decode(batch.select("value")).persist()
         try:
+            total = decoded.count()
             bad = quarantine(decoded)
             for kind in SCHEMAS:
                 valid, invalid = split_valid(validate(events_of(decoded, kind), kind))
@@ -65,17 +112,24 @@ def consume(
                 )
                 if kind in handlers:
                     handlers[kind](valid, batch_id)
+            # Counted while it is written, in no job of its own.
+            refused = Observation()
             (
-                bad.withColumn("batch_id", F.lit(batch_id))
+                bad.observe(refused, F.count(F.lit(1)).alias("n"))
+                .withColumn("batch_id", F.lit(batch_id))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy("batch_id")
                 .parquet(quarantine_path)
             )
+            n = refused.get["n"]
+            run.rejected += n
+            run.processed += total - n
         finally:
             decoded.unpersist()
 
-    return start(raw, on_batch, checkpoint, every)
+    run.query = start(raw, on_batch, checkpoint, every)
+    return run
 
 
 def stream_features(

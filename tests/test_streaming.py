@@ -12,7 +12,7 @@ from hawkframe.operators.state import not_seen_within, novel_in_session, session
 from hawkframe.operators.tumbling import tumble_features
 from hawkframe.plans.features import extract_features
 from hawkframe.schemas import FEATURES
-from hawkframe.sources.connectors import read_json_lines
+from hawkframe.sources.connectors import compact_alerts, read_json_lines, utc_day, write_alert_batch
 from hawkframe.streaming.pipeline import consume, score_stream, stream_features
 from hawkframe.streaming.state import history_features, limit_stream, window_features
 from hawkframe.streaming.windows import late_rows, session_stream, suppress_repeats, tumbling_stream
@@ -242,6 +242,46 @@ def test_consume_routes_and_quarantines(spark, tmp_path):
     assert reasons == ["failed: source_ip,source_port,protocol", "malformed json", "unknown event_type"]
 
 
+def test_consume_stops_after_enough_messages(spark, tmp_path):
+    good = '{{"event_type":"application","event_id":"a{}","source_system":"nginx","application_name":"w","log_level":"INFO","message":"hi"}}'
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    for f in range(4):
+        (folder / f"{f}.txt").write_text("\n".join([good.format(10 * f + i) for i in range(3)] + ["not json"]))
+    source = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(folder))
+    seen = []
+    handlers = {"application": lambda df, i: seen.extend(r["event_id"] for r in df.select("event_id").collect())}
+    where = (handlers, str(tmp_path / "bad"), str(tmp_path / "ck"))
+    first = consume(source, *where, max_messages=5)
+    assert first.wait() == 6 and first.rejected == 2 and len(seen) == 6
+    # The next run goes on behind it; without a bound it takes the rest.
+    rest = consume(source, *where)
+    assert rest.wait() == 6 and len(seen) == len({*seen}) == 12
+    assert spark.read.parquet(where[1]).count() == 4
+    assert consume(source, *where, max_messages=1).wait() == 0
+
+
+def test_alert_table_by_day(spark, tmp_path):
+    rows = [(f"a{i}", f"2024-01-0{1 + i % 2} 23:59:59", i) for i in range(6)]
+    df = spark.createDataFrame(rows, "alert_id string, ts string, n int").withColumn("timestamp", F.col("ts").cast("timestamp_ntz")).drop("ts")
+    path, archive = str(tmp_path / "alerts"), str(tmp_path / "archive")
+    for _ in range(2):
+        write_alert_batch(df.where("n < 4"), path, 0)
+        write_alert_batch(df.where("n >= 3"), path, 1)
+    assert sorted(d.name for d in (tmp_path / "alerts").iterdir() if d.is_dir()) == ["alert_date=2024-01-01", "alert_date=2024-01-02"]
+    assert spark.read.parquet(path).count() == 7
+    for _ in range(2):
+        compact_alerts(spark, path, archive, "2024-01-02")
+    kept = spark.read.parquet(archive)
+    assert sorted(r.alert_id for r in kept.collect()) == ["a1", "a3", "a5"] and "batch_id" not in kept.columns
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        zoned = df.withColumn("timestamp", F.timestamp_micros(F.lit(1_704_067_199_000_000)))
+        assert str(zoned.select(utc_day(zoned).alias("d")).first().d) == "2023-12-31"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_score_stream_restarts_without_repeats(spark, sf, tmp_path):
     n = network(spark, sf).drop("user_id", "kind", "value", "stage")
     stream = _stream(spark, n, str(tmp_path / "in"), 2)
