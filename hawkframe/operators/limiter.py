@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,28 +51,27 @@ def limit_calls(
     that reach the limit are walked, streamed in order through bounded memory.
     """
     window = window_s * US
-    base = calls.withColumn("_t", micros(calls, ts)).select(key, order_id, ts, "_t")
-    renamed = base.withColumnRenamed(order_id, "event_id") if order_id != "event_id" else base
-    bursts = sessionize(renamed, [key], "_t", "event_id", window)
+    base = calls.select(
+        F.col(key).alias("_key"), F.col(order_id).alias("event_id"), F.col(ts).alias("_ts"), micros(calls, ts).alias("_t"), F.struct(*calls.columns).alias("_row")
+    )
+    bursts = sessionize(base, ["_key"], "_t", "event_id", window)
     # A call less than a window back sits in the same burst; the longest
     # window below `window` is one microsecond shorter.
     busy = (
-        trailing(bursts, {"w": window_s - 1 / US}, key=key, ts=ts)
+        trailing(bursts.drop("_row"), {"w": window_s - 1 / US}, key="_key", ts="_ts")
         .filter(F.col("conn_count_w") >= max_calls)
-        .select(key, "session_start")
+        .select("_key", "session_start")
         .distinct()
         .withColumn("_busy", F.lit(True))
     )
-    flagged = null_safe_join(bursts, busy, [key, "session_start"], "left")
-    calm = flagged.filter("_busy is null").select(
-        key, "event_id", F.lit(True).alias("allowed"), F.lit(0.0).alias("wait_s")
-    )
+    flagged = null_safe_join(bursts, busy, ["_key", "session_start"], "left")
+    calm = flagged.filter("_busy is null").select("_row", F.lit(True).alias("allowed"), F.lit(0.0).alias("wait_s"))
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, log = None, deque()
-        for pdf in batches:
-            marks = list(zip(pdf[key], pdf["session_start"]))
-            times = pdf["_t"].to_numpy(np.int64)
+        for batch in batches:
+            marks = list(zip(batch.column("_key").to_pylist(), batch.column("session_start").to_pylist(), strict=True))
+            times = batch.column("_t").to_numpy()
             starts = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]]
             allowed = np.zeros(len(times), dtype=bool)
             wait = np.zeros(len(times), dtype=np.int64)
@@ -80,26 +79,18 @@ def limit_calls(
                 if marks[a] != current:
                     current, log = marks[a], deque()
                 allowed[a:b], wait[a:b] = _walk(times[a:b], log, max_calls, window)
-            yield pd.DataFrame(
-                {
-                    key: pdf[key],
-                    "event_id": pdf["event_id"],
-                    "allowed": allowed,
-                    "wait_s": wait / US,
-                }
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(allowed), pa.array(wait / US)], names=["_row", "allowed", "wait_s"])
 
-    key_type = base.schema[key].dataType.simpleString()
-    id_type = base.schema[order_id].dataType.simpleString()
+    # The call itself goes through as it is, so repeated ids stay rows of their own.
     walked = (
         flagged.filter("_busy")
-        .select(key, "session_start", "event_id", "_t")
-        .repartition(key, "session_start")
-        .sortWithinPartitions(key, "session_start", "_t", "event_id")
-        .mapInPandas(decide, f"{key} {key_type}, event_id {id_type}, allowed boolean, wait_s double")
+        .select("_key", "session_start", "event_id", "_t", "_row")
+        .repartition("_key", "session_start")
+        .sortWithinPartitions("_key", "session_start", "_t", "event_id")
+        .select("_key", "session_start", "_t", "_row")
+        .mapInArrow(decide, calm.schema)
     )
-    verdicts = calm.unionByName(walked).withColumnRenamed("event_id", order_id)
-    return null_safe_join(calls, verdicts, [key, order_id])
+    return calm.unionByName(walked).select(*[F.col("_row").getField(c).alias(c) for c in calls.columns], "allowed", "wait_s")
 
 
 def keep_first(

@@ -48,6 +48,14 @@ def null_safe_join(
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """`df` with its keys as one struct `_k`, which is never null and in which null equals null.
+
+    Windows, groups and joins by it share one shuffle; a null-safe join on the columns would need another.
+    """
+    return (df.withColumn("_k", F.struct(*keys)), ["_k"]) if keys else (df, [])
+
+
 def sessionize(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,25 +73,24 @@ def sessionize(
     first and last time of each slice.
     """
     slice_us = min(slice_us or DEFAULT_SLICE_S * US, gap_us)
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_of(F.col(t), slice_us))
-    bounds = sliced.groupBy(*keys, "_slice").agg(
+    sliced, k = keyed(df.withColumn("_slice", slice_of(F.col(t), slice_us)), keys)
+    bounds = sliced.groupBy(*k, "_slice").agg(
         F.min(F.struct(F.col(t).alias("t"), F.col(order_id).alias("id"))).alias("_first"),
         F.max(t).alias("_last"),
     )
-    w = Window.partitionBy(*keys).orderBy("_slice")
+    w = Window.partitionBy(*k).orderBy("_slice")
     idle = F.col("_first.t") - F.lag("_last").over(w)
     breaks = idle >= gap_us if break_at_equal else idle > gap_us
     marks = bounds.withColumn(
         "_head", F.when(idle.isNull() | breaks, F.col("_first"))
     ).select(
-        *keys,
+        *k,
         "_slice",
         F.last("_head", ignorenulls=True)
         .over(w.rowsBetween(Window.unboundedPreceding, 0))
         .alias("_head"),
     )
-    out = null_safe_join(sliced, marks, [*keys, "_slice"])
+    out = sliced.join(marks, [*k, "_slice"])
     return out.select(
         *df.columns,
         F.col("_head.t").alias("session_start"),
@@ -104,23 +111,23 @@ def running_sums(
     `slice_col` must be non-decreasing along `order`.  Sums exclude the row
     itself unless `inclusive`.
     """
-    keys = list(keys)
+    whole, k = keyed(df, keys)
     upto = 0 if inclusive else -1
-    local = Window.partitionBy(*keys, slice_col).orderBy(*order)
+    local = Window.partitionBy(*k, slice_col).orderBy(*order)
     local = local.rowsBetween(Window.unboundedPreceding, upto)
-    before = Window.partitionBy(*keys).orderBy(slice_col)
+    before = Window.partitionBy(*k).orderBy(slice_col)
     before = before.rowsBetween(Window.unboundedPreceding, -1)
 
-    totals = df.groupBy(*keys, slice_col).agg(
+    totals = whole.groupBy(*k, slice_col).agg(
         *[F.sum(m).alias(f"_tot_{n}") for n, m in measures.items()]
     )
     offsets = totals.select(
-        *keys,
+        *k,
         slice_col,
         *[F.sum(f"_tot_{n}").over(before).alias(f"_off_{n}") for n in measures],
     )
-    rows = df.select("*", *[F.sum(m).over(local).alias(f"_loc_{n}") for n, m in measures.items()])
-    joined = null_safe_join(rows, offsets, [*keys, slice_col])
+    rows = whole.select("*", *[F.sum(m).over(local).alias(f"_loc_{n}") for n, m in measures.items()])
+    joined = rows.join(offsets, [*k, slice_col])
     zero = F.lit(0)
     return joined.select(
         *df.columns,
@@ -145,22 +152,21 @@ def next_after(
     struct that starts with one), so the smallest is also the earliest.  Frames
     run backwards in time: they only grow, so a row costs one step.
     """
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_of(F.col(t), slice_us)).withColumn("_v", value)
+    sliced, k = keyed(df.withColumn("_slice", slice_of(F.col(t), slice_us)).withColumn("_v", value), keys)
     local = (
-        Window.partitionBy(*keys, "_slice")
+        Window.partitionBy(*k, "_slice")
         .orderBy(F.col(t).desc())
         .rangeBetween(Window.unboundedPreceding, -1)
     )
     later = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*k)
         .orderBy(F.desc("_slice"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    firsts = sliced.groupBy(*keys, "_slice").agg(F.min("_v").alias("_m"))
-    firsts = firsts.select(*keys, "_slice", F.min("_m").over(later).alias("_later"))
+    firsts = sliced.groupBy(*k, "_slice").agg(F.min("_v").alias("_m"))
+    firsts = firsts.select(*k, "_slice", F.min("_m").over(later).alias("_later"))
     rows = sliced.withColumn("_here", F.min("_v").over(local))
-    joined = null_safe_join(rows, firsts, [*keys, "_slice"])
+    joined = rows.join(firsts, [*k, "_slice"])
     return joined.select(*df.columns, F.coalesce("_here", "_later").alias(alias))
 
 
@@ -172,15 +178,14 @@ def neighbour_times(
     slice_us: int = DEFAULT_SLICE_S * US,
 ) -> DataFrame:
     """Add `prev_t` and `next_t`: times of the adjacent rows of the key."""
-    keys = list(keys)
-    sliced = df.withColumn("_slice", slice_of(F.col(t), slice_us))
-    local = Window.partitionBy(*keys, "_slice").orderBy(t, order_id)
-    bounds = sliced.groupBy(*keys, "_slice").agg(
+    sliced, k = keyed(df.withColumn("_slice", slice_of(F.col(t), slice_us)), keys)
+    local = Window.partitionBy(*k, "_slice").orderBy(t, order_id)
+    bounds = sliced.groupBy(*k, "_slice").agg(
         F.min(t).alias("_first"), F.max(t).alias("_last")
     )
-    w = Window.partitionBy(*keys).orderBy("_slice")
+    w = Window.partitionBy(*k).orderBy("_slice")
     around = bounds.select(
-        *keys,
+        *k,
         "_slice",
         F.lag("_last").over(w).alias("_before"),
         F.lead("_first").over(w).alias("_after"),
@@ -188,7 +193,7 @@ def neighbour_times(
     rows = sliced.select(
         "*", F.lag(t).over(local).alias("_lag"), F.lead(t).over(local).alias("_lead")
     )
-    joined = null_safe_join(rows, around, [*keys, "_slice"])
+    joined = rows.join(around, [*k, "_slice"])
     return joined.select(
         *df.columns,
         F.coalesce("_lag", "_before").alias("prev_t"),
@@ -196,6 +201,16 @@ def neighbour_times(
     )
 
 
+def fitted_slice(df: DataFrame, key: str, ts: str, rows: int = 50_000, longest_s: int = 86400) -> int:
+    """Length in microseconds of slices in which the busiest hour of any key has about `rows` rows.
+
+    Quiet keys then have few slices, and a hot key still has many. One number reaches the driver; it never moves a result.
+    """
+    hour = slice_of(micros(df, ts), 3600 * US)
+    busiest = df.groupBy(key, hour.alias("_hour")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 1
+    return max(DEFAULT_SLICE_S, min(longest_s, 3600 * rows // busiest)) * US
+
+
 def value_slice(df: DataFrame, column: str, slices: int = 64) -> Column:
     """Order-preserving slice number with about equal rows per slice.
 

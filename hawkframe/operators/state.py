@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkframe.operators.sliced import (
@@ -27,10 +27,10 @@ SLICE_US = DEFAULT_SLICE_S * US
 
 
 def latest_per_event(df: DataFrame, key: str = "source_ip", ts: str = "timestamp") -> DataFrame:
-    """A repeated event id of a source counts once, with its latest time."""
+    """A repeated event id of a source counts once, with its latest time; of rows of one time one by their content."""
     others = [c for c in df.columns if c not in (key, "event_id")]
     row = F.struct(ts, *[c for c in others if c != ts])
-    best = df.groupBy(key, "event_id").agg(F.max_by(row, F.col(ts)).alias("_row"))
+    best = df.groupBy(key, "event_id").agg(F.max_by(row, F.struct(ts, F.xxhash64(*others))).alias("_row"))
     return best.select(
         *[F.col(c) if c in (key, "event_id") else F.col(f"_row.{c}").alias(c) for c in df.columns]
     )
@@ -59,6 +59,7 @@ def trailing(
     distinct: Mapping[str, Sequence[str]] | None = None,
     stats: Mapping[str, str] | None = None,
     columns: Mapping[str, str] | None = None,
+    novel: Mapping[str, tuple[str, int]] | None = None,
     counts: bool = True,
     key: str = "source_ip",
     ts: str = "timestamp",
@@ -74,14 +75,18 @@ def trailing(
       prefix to its column: `<prefix>_<w>` counts values including the event.
       A value enters when its previous use has left the window and leaves when
       no next use comes in time, so the sweep needs no sets.
+    * `novel` maps an output to a column and seconds: true when the source did not use the value in these seconds before;
+      false for no value.
     * `stats` maps a whole-number column to a window: `<column>_mean` and
       `<column>_stddev` (sample, 0 for one event) including the event.
+
+    Each row goes through the sweep as it is and comes out once, so repeated event ids are rows of their own.
     """
-    distinct, stats, columns = distinct or {}, stats or {}, columns or {}
+    distinct, stats, columns, novel = distinct or {}, stats or {}, columns or {}, novel or {}
     span = {w: round(s * US) for w, s in windows.items()}
     t = F.col("_t")
     base = df.select(
-        F.col(key).alias("_key"), "event_id", micros(df, ts).alias("_t"), *{*columns.values(), *stats}
+        F.col(key).alias("_key"), "event_id", micros(df, ts).alias("_t"), *{*columns.values(), *stats, *(c for c, _ in novel.values())}, F.struct(*df.columns).alias("_row")
     )
     moments = {
         c: {
@@ -120,44 +125,42 @@ def trailing(
         F.col("_e.cls").alias("_cls"),
     ]
     steps = base.select("*", F.explode(moves).alias("_e")).select(
-        *place, *[d.alias(n) for n, d in deltas.items()]
+        *place, F.when(arrives, F.col("_row")).alias("_row"), *[d.alias(n) for n, d in deltas.items()]
     )
-    for prefix, wanted in distinct.items():
-        col = columns[prefix]
-        uses = neighbour_times(
-            base.select("_key", col, "event_id", "_t"), ["_key", col], "_t", "event_id", slice_us
-        )
-        starts = {w: F.col("prev_t").isNull() | (t - F.col("prev_t") > span[w]) for w in wanted}
-        ends = {w: F.col("next_t").isNull() | (F.col("next_t") - t > span[w]) for w in wanted}
-        first = F.array(
-            F.struct(
-                F.col("_t").alias("at"),
-                F.lit(0).alias("tie"),
-                F.lit(_ENTER).alias("cls"),
-                *[F.when(starts[w], 1).alias(f"{prefix}_{w}") for w in wanted],
-            ),
-            *[
-                F.when(
-                    ends[w],
-                    F.struct(
-                        (t + span[w]).alias("at"),
-                        F.lit(1).alias("tie"),
-                        F.lit(_LEAVE).alias("cls"),
-                        *[
-                            F.lit(-1 if v == w else None).cast("int").alias(f"{prefix}_{v}")
-                            for v in wanted
-                        ],
-                    ),
-                )
-                for w in wanted
-            ],
-        )
-        edges = uses.select("_key", "event_id", F.explode(first).alias("_e")).filter("_e is not null")
-        steps = steps.unionByName(
-            edges.select(*place, *[F.col(f"_e.{prefix}_{w}").alias(f"{prefix}_{w}") for w in wanted]),
-            allowMissingColumns=True,
-        )
-    totals = [c for c in steps.columns if c not in ("_key", "event_id", "_at", "_tie", "_cls")]
+    # All uses of all columns are one table, so that their neighbours in time cost one shuffle.
+    used = {columns[p]: None for p in distinct} | {c: None for c, _ in novel.values()}
+    if used:
+        values = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in used]
+        melted = base.select("_key", "event_id", "_t", F.explode(F.array(*values)).alias("_u")).select("_key", "event_id", "_t", "_u.*")
+        uses = neighbour_times(melted, ["_key", "column", "value"], "_t", "event_id", slice_us)
+        since = t - F.col("prev_t")
+        enters = [
+            F.when((F.col("column") == columns[p]) & (F.col("prev_t").isNull() | (since > span[w])), 1).alias(f"{p}_{w}")
+            for p, wanted in distinct.items()
+            for w in wanted
+        ]
+        first_use = {
+            n: F.when((F.col("column") == c) & F.col("value").isNotNull() & (F.col("prev_t").isNull() | (since > s * US)), 1)
+            for n, (c, s) in novel.items()
+        }
+        names = [f"{p}_{w}" for p, wanted in distinct.items() for w in wanted]
+        nothing = {n: F.lit(None).cast("int").alias(n) for n in [*names, *novel]}
+        at = lambda moment, tie, cls: [moment.alias("at"), F.lit(tie).alias("tie"), F.lit(cls).alias("cls")]
+        moves = [F.struct(*at(t, 0, _ENTER), *enters, *[f.alias(n) for n, f in first_use.items()])]
+        if novel:
+            # A first use counts for its own event only: it is taken back right behind it.
+            again = [(-f).alias(n) for n, f in first_use.items()]
+            some = F.coalesce(*first_use.values()).isNotNull()
+            moves.append(F.when(some, F.struct(*at(t, 0, _LEAVE), *[nothing[n] for n in names], *again)))
+        for p, wanted in distinct.items():
+            for w in wanted:
+                left = (F.col("column") == columns[p]) & (F.col("next_t").isNull() | (F.col("next_t") - t > span[w]))
+                minus = [F.lit(-1).alias(n) if n == f"{p}_{w}" else nothing[n] for n in [*names, *novel]]
+                moves.append(F.when(left, F.struct(*at(t + span[w], 1, _LEAVE), *minus)))
+        edges = uses.select("_key", "event_id", F.explode(F.array(*moves)).alias("_e")).filter("_e is not null")
+        edges = edges.select(*place, *[F.col(f"_e.{n}").alias(n) for n in [*names, *novel]])
+        steps = steps.unionByName(edges, allowMissingColumns=True)
+    totals = [c for c in steps.columns if c not in ("_key", "event_id", "_at", "_tie", "_cls", "_row")]
     steps = steps.withColumn("_slice", slice_of(F.col("_at"), slice_us))
     swept = running_sums(
         steps.withColumnsRenamed({c: f"_d_{c}" for c in totals}),
@@ -166,14 +169,12 @@ def trailing(
         ["_at", "_tie", "event_id", "_cls"],
         {c: F.col(f"_d_{c}") for c in totals},
     )
-    answers = swept.filter(F.col("_cls") == _EVENT).select(
-        F.col("_key").alias(key), "event_id", *_trailing_results(totals, stats)
-    )
-    return null_safe_join(df, answers, [key, "event_id"])
+    own = [F.col("_row").getField(c).alias(c) for c in df.columns]
+    return swept.filter(F.col("_cls") == _EVENT).select(*own, *_trailing_results(totals, stats, novel))
 
 
-def _trailing_results(totals: list[str], stats: Mapping[str, str]) -> list[Column]:
-    out = [F.col(c).cast("bigint").alias(c) for c in totals if not c.startswith("_")]
+def _trailing_results(totals: list[str], stats: Mapping[str, str], novel: Mapping) -> list[Column]:
+    out = [(F.col(c) > 0).alias(c) if c in novel else F.col(c).cast("bigint").alias(c) for c in totals if not c.startswith("_")]
     for c in stats:
         n, s1, s2 = (F.col(f"{m}_{c}") + F.col(f"_d_{m}_{c}") for m in ("_n", "_s1", "_s2"))
         total = s1.cast("decimal(38,0)")
@@ -253,16 +254,21 @@ def novel_in_session(
     key: str = "source_ip",
     ts: str = "timestamp",
 ) -> DataFrame:
-    """True for the first use of a value inside the source's long inactivity session."""
-    base = df.withColumn("_t", micros(df, ts))
+    """True for the first use of a value inside the source's long inactivity session.
+
+    Rows that share id and time are told apart by their content; of equal rows one is the first.
+    """
+    base = df.withColumn("_t", micros(df, ts)).withColumn("_place", F.struct("_t", "event_id", F.xxhash64(*df.columns).alias("hash")))
     rows = sessionize(base, [key], "_t", "event_id", gap_s * US)
-    firsts = (
-        rows.groupBy(key, "session_start", column)
-        .agg(F.min(F.struct("_t", "event_id")).alias("_f"))
-        .select(key, F.col("_f.event_id").alias("event_id"), F.lit(True).alias("_first"))
-    )
-    out = null_safe_join(base, firsts, [key, "event_id"], "left")
-    return out.select(*df.columns, F.coalesce("_first", F.lit(False)).alias(alias))
+    uses = rows.withColumn("_use", F.struct(key, column, "session_start"))
+    firsts = uses.groupBy("_use").agg(F.min("_place").alias("_place")).withColumn("_first", F.lit(True))
+    out = numbered_among_equals(uses, ["_use", "_place"]).join(firsts, ["_use", "_place"], "left")
+    return out.select(*df.columns, (F.col("_first").isNotNull() & (F.col("_nth") == 1)).alias(alias))
+
+
+def numbered_among_equals(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`rows` and `_nth`: the number, from 1, of a row among those equal in `keys`."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
 
 
 def not_seen_within(

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from hawkframe.functions.decisions import is_http, off_hours
 from hawkframe.functions.text import entropy
-from hawkframe.operators.intel import add_country, add_ioc_flag, add_reputation, peer_scores
+from hawkframe.operators.intel import add_ioc_flag, add_reputation, peer_scores, with_country
 from hawkframe.operators.rules import Rule, matched_rules, technique_list
-from hawkframe.operators.sliced import lookup_join, null_safe_join
+from hawkframe.operators.sliced import fitted_slice, lookup_join
 from hawkframe.operators.state import (
     latest_per_event,
-    not_seen_within,
     novel_in_session,
     session_distinct,
     trailing,
@@ -49,8 +48,8 @@ def extract_features(
     techniques = technique_list(matched) if matched is not None else F.array().cast("array<string>")
     rows = events.select(*NARROW, *narrowed(techniques))
     # A repeated event id of a source counts once, with its latest time.
-    rows = durable(latest_per_event(rows))
-    rows = _coded(rows, windows) if compat else _designed(rows, windows, ranges, assets)
+    rows = latest_per_event(rows)
+    rows = _coded(durable(rows), windows) if compat else _designed(rows, windows, ranges, assets)
     rows = add_reputation(rows, reputation) if reputation is not None else _zero(rows, "ip_reputation_score")
     rows = add_ioc_flag(rows, iocs) if iocs is not None else _zero(rows, "ioc_matches")
     return model_input(rows)
@@ -104,25 +103,11 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name)
 
 
-KEY = ["source_ip", "event_id"]
-
-
 def _coded(rows: DataFrame, windows: Mapping[str, int]) -> DataFrame:
-    seen = session_distinct(
-        rows.select(*KEY, "timestamp", "destination_ip", "destination_port", "protocol"),
-        {
-            "unique_dst_ips": "destination_ip",
-            "unique_dst_ports": "destination_port",
-            "unique_protocols": "protocol",
-        },
-    ).select(*KEY, "unique_dst_ips", "unique_dst_ports", "unique_protocols")
-    novel = novel_in_session(
-        rows.select(*KEY, "timestamp", "destination_port"), "destination_port"
-    ).select(*KEY, "is_novel_port")
-    out = trailing(rows, windows)
-    for family in (seen, novel):
-        out = null_safe_join(out, family, KEY)
-    return session_form(out, windows)
+    """Each family takes the rows of the one before and adds its columns; none is joined back."""
+    attributes = {"unique_dst_ips": "destination_ip", "unique_dst_ports": "destination_port", "unique_protocols": "protocol"}
+    out = novel_in_session(session_distinct(rows, attributes), "destination_port")
+    return session_form(trailing(out, windows, slice_us=fitted_slice(rows, "source_ip", "timestamp")), windows)
 
 
 def _designed(
@@ -131,8 +116,15 @@ def _designed(
     ranges: DataFrame | None,
     assets: DataFrame | None,
 ) -> DataFrame:
+    # A port is always a value, a country only where the address has one.
+    out = rows.withColumn("_port", F.coalesce(F.col("destination_port").cast("string"), F.lit("none")))
+    novel = {"is_novel_port": ("_port", PORT_TTL)}
+    if ranges is not None:
+        out = with_country(out, ranges)
+        novel["is_new_country"] = ("country", COUNTRY_TTL)
+    out = counted = durable(out)
     out = trailing(
-        rows,
+        out,
         windows,
         distinct={
             "unique_dst_ips": list(windows),
@@ -145,23 +137,16 @@ def _designed(
             "unique_protocols": "protocol",
         },
         stats={"bytes_sent": "1hour"},
+        novel=novel,
+        slice_us=fitted_slice(out, "source_ip", "timestamp"),
     ).withColumnsRenamed(
         {"bytes_sent_mean": "payload_size_mean", "bytes_sent_stddev": "payload_size_stddev"}
     )
-    ports = not_seen_within(
-        rows.select(*KEY, "timestamp", "destination_port"), "destination_port", "is_novel_port", PORT_TTL
-    )
-    out = null_safe_join(out, ports.select(*KEY, "is_novel_port"), KEY)
     if ranges is None:
         out = out.withColumn("is_new_country", F.lit(False))
-    else:
-        placed = add_country(rows.select(*KEY, "timestamp"), ranges).filter("country is not null")
-        moved = not_seen_within(placed, "country", "_new", COUNTRY_TTL).select(*KEY, "_new")
-        out = null_safe_join(out, moved, KEY, "left")
-        out = out.withColumn("is_new_country", F.coalesce("_new", F.lit(False)))
     if assets is None:
         return out.withColumn("peer_deviation_score", F.lit(0.0))
-    peers = peer_scores(rows, assets).select("source_ip", "peer_deviation_score")
+    peers = peer_scores(counted, assets).select("source_ip", "peer_deviation_score")
     out = lookup_join(out, peers, ["source_ip"])
     return out.withColumn("peer_deviation_score", F.coalesce("peer_deviation_score", F.lit(0.0)))
 

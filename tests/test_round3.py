@@ -1,0 +1,84 @@
+"""Repeated event ids, one sweep for all windows, and range search."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from hawkframe.operators.intel import with_country
+from hawkframe.operators.limiter import keep_first, limit_calls
+from hawkframe.operators.sliced import fitted_slice
+from hawkframe.operators.state import latest_per_event, novel_in_session, trailing
+from hawkframe.plans.features import extract_features
+
+
+def _events(spark, rows):
+    df = spark.createDataFrame(rows, "event_id long, source_ip string, destination_port int, bytes_sent long, sec long")
+    return df.withColumn("timestamp", F.timestamp_seconds("sec").cast("timestamp_ntz")).drop("sec")
+
+
+# An id three times at other times, equal rows, one id and time with two ports, a null source and a null port.
+REPEATS = [(1, "a", 80, 10, 0), (1, "a", 80, 10, 20), (1, "a", 443, 30, 40), (2, "a", 80, 5, 50), (2, "a", 80, 5, 50)]
+REPEATS += [(3, "a", 22, 1, 60), (3, "a", 23, 1, 60), (4, None, None, 7, 0), (4, None, None, 7, 10), (5, "b", 80, 1, 0)]
+
+
+def test_rows_in_are_rows_out_with_repeated_ids(spark):
+    df = _events(spark, REPEATS)
+    out = trailing(df, {"w": 30}, {"ports": ["w"]}, {"bytes_sent": "w"}, {"ports": "destination_port"}, {"novel": ("destination_port", 30)})
+    got = sorted((r.source_ip or "", r.event_id, r.destination_port or 0, r.conn_count_w, r.ports_w, r.novel, r.bytes_sent_mean) for r in out.collect())
+    assert len(got) == len(REPEATS)
+    assert [g for g in got if g[1] == 1] == [("a", 1, 80, 0, 1, True, 10.0), ("a", 1, 80, 1, 1, False, 10.0), ("a", 1, 443, 1, 2, True, 20.0)]
+    assert sorted(g[3] for g in got if g[1] == 2) == [2, 3] and [g[3:6] for g in got if g[0] == ""] == [(0, 1, False), (1, 1, False)]
+    novel = novel_in_session(df, "destination_port").collect()
+    assert len(novel) == len(REPEATS)
+    first = sorted((r.source_ip or "", r.event_id, r.destination_port or 0) for r in novel if r.is_novel_port)
+    assert first == [("", 4, 0), ("a", 1, 80), ("a", 1, 443), ("a", 3, 22), ("a", 3, 23), ("b", 5, 80)]
+
+
+def test_limits_with_repeated_ids(spark):
+    df = _events(spark, REPEATS)
+    for most in (1, 2, 100):
+        out = limit_calls(df, most, 30)
+        assert out.count() == len(REPEATS) and out.columns == [*df.columns, "allowed", "wait_s"]
+    one = limit_calls(df, 1, 30).where("event_id = 1").orderBy("timestamp").collect()
+    assert [r.allowed for r in one] == [True, False, True]
+    alerts = df.withColumnsRenamed({"event_id": "alert_id"}).withColumn("threat_type", F.lit("x"))
+    kept = keep_first(alerts, 30)
+    assert kept.count() == len(REPEATS) and kept.columns == [*alerts.columns, "is_duplicate"]
+
+
+def test_latest_of_rows_with_one_time_is_settled(spark):
+    df = _events(spark, REPEATS)
+    picks = {latest_per_event(df.repartition(n)).where("event_id = 3").first().destination_port for n in (1, 2, 3, 5, 7)}
+    assert len(picks) == 1
+
+
+def test_all_windows_come_from_few_shuffles(spark, sf):
+    from hawkframe.catalog.tables import network, ranges
+
+    n = network(spark, sf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = extract_features(n, ranges=ranges(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") <= 8
+
+
+def test_slices_follow_the_busiest_hour(spark):
+    df = _events(spark, [(i, "hot", 1, 1, i % 3600) for i in range(7200)] + [(i, f"s{i}", 1, 1, i * 5000) for i in range(50)])
+    assert fitted_slice(df, "source_ip", "timestamp", rows=1200) == 600 * 1_000_000
+    assert fitted_slice(df, "source_ip", "timestamp", rows=10) == 120 * 1_000_000
+    assert fitted_slice(df.limit(0), "source_ip", "timestamp") == 86400 * 1_000_000
+
+
+def test_range_search_equals_a_scan(spark):
+    rng = np.random.default_rng(9)
+    cuts = np.unique(rng.integers(0, 1 << 20, 400))
+    some = [(int(a), int(b) - 1, f"c{a}") for a, b in zip(cuts[::2], cuts[1::2], strict=False)] + [(5 << 16, (9 << 16) + 7, "wide")]
+    some = [r for r in some if r[2] == "wide" or not (r[0] <= (9 << 16) + 7 and r[1] >= 5 << 16)]
+    text = lambda n: ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    asked = [int(x) for x in rng.integers(0, 1 << 21, 3000)] + [r[0] for r in some] + [r[1] for r in some] + [r[1] + 1 for r in some]
+    events = spark.createDataFrame([(text(a), a) for a in asked] + [("no address", None), (None, None)], "source_ip string, n long")
+    ranges = spark.createDataFrame(some, "start_ip long, end_ip long, country string")
+    got = {r.n: r.country for r in with_country(events, ranges).collect()}
+    assert got == {a: next((c for lo, hi, c in some if lo <= a <= hi), None) for a in asked} | {None: None}
+    assert with_country(events, ranges.limit(0)).where("country is not null").count() == 0
