@@ -165,8 +165,10 @@ def _counts_sql(seconds: int) -> str:
 
 @query(
     "volume_spike",
-    f"""WITH {_counts_sql(300)} SELECT a.window_start, a.n, b.n AS n_before, round(a.n / b.n, 6) AS ratio
-    FROM counts a JOIN counts b ON a.window_start = b.window_start + INTERVAL 1 HOUR WHERE a.n / b.n > 2""",
+    f"""WITH {_counts_sql(300)}, grid AS (SELECT unnest(generate_series(min(window_start), max(window_start), INTERVAL 300 SECONDS)) AS window_start FROM counts),
+    filled AS (SELECT window_start, coalesce(n, 0)::BIGINT AS n FROM grid LEFT JOIN counts USING (window_start))
+    SELECT a.window_start, a.n, b.n AS n_before, CASE WHEN b.n = 0 THEN 'Infinity'::DOUBLE ELSE round(a.n / b.n, 6) END AS ratio
+    FROM filled a JOIN filled b ON a.window_start = b.window_start + INTERVAL 1 HOUR WHERE a.n > 2 * b.n""",
 )
 def q_volume_spike(spark, sf):
     return monitor.volume_spikes(_counts(spark, sf, 300)).withColumn("ratio", r6("ratio"))
@@ -177,12 +179,14 @@ _RATES = f"rates AS (SELECT event_type, {_bucket(900)} AS window_start, count(*)
 
 @query(
     "unusual_pattern",
-    f"""WITH {_RATES}, w AS (SELECT *, avg(rate) OVER (PARTITION BY event_type ORDER BY window_start RANGE BETWEEN INTERVAL 14399 SECONDS PRECEDING AND CURRENT ROW) AS trailing_avg FROM rates)
+    f"""WITH {_RATES}, grid AS (SELECT event_type, unnest(generate_series(min(window_start), max(window_start), INTERVAL 900 SECONDS)) AS window_start FROM rates GROUP BY 1),
+    filled AS (SELECT event_type, window_start, coalesce(n, 0)::BIGINT AS n, coalesce(rate, 0) AS rate FROM grid LEFT JOIN rates USING (event_type, window_start)),
+    w AS (SELECT *, avg(rate) OVER (PARTITION BY event_type ORDER BY window_start RANGE BETWEEN INTERVAL 14399 SECONDS PRECEDING AND CURRENT ROW) AS trailing_avg FROM filled)
     SELECT event_type, window_start, n, round(rate, 6) AS rate, round(trailing_avg, 6) AS trailing_avg FROM w WHERE rate > 1.5 * trailing_avg""",
 )
 def q_unusual_pattern(spark, sf):
     rates = tumbling.rate_per_window(table(spark, sf, "events"), "event_type", 900, "ts")
-    out = monitor.unusual_rates(rates, ["event_type"], 1.5, 4 * HOUR)
+    out = monitor.unusual_rates(rates, ["event_type"], 1.5, 4 * HOUR, 900)
     return out.withColumns({"rate": r6("rate"), "trailing_avg": r6("trailing_avg")})
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hawkframe.operators.sliced import exact_quantiles, lookup_join, running_sums, value_slice
+from hawkframe.operators.sliced import exact_quantiles, lookup_join, ordered_slices, running_sums
 from hawkframe.session import durable
 
 _PIVOTS = 128
@@ -74,7 +74,7 @@ class NeighborIndex:
         )
         placed = durable(placed)
         ranked = running_sums(
-            placed.withColumn("_vs", value_slice(placed, "r")), ["cell"], "_vs", ["r", "pid"], {"_rank": F.lit(1)}
+            ordered_slices(placed, "r"), ["cell"], "_vs", ["r", "pid"], {"_rank": F.lit(1)}
         )
         ranked = ranked.withColumn("ring", F.expr(f"_rank div {block_rows}")).drop("_vs", "_rank")
         bounds = (

@@ -45,24 +45,17 @@ def events_without(events: DataFrame, known: DataFrame, keys: list[str]) -> Data
 def ioc_match_counts(
     events: DataFrame, indicators: dict[str, str], intel: DataFrame, id_col: str = "event_id"
 ) -> DataFrame:
-    """Number of indicator hits per event over several indicator types.
+    """Number of indicator hits of each event over several indicator types: `id_col` and `ioc_matches`, a row per event row.
 
-    `indicators` maps an indicator type to the event column that holds it.
+    `indicators` maps an indicator type to the event column that holds it. Each type is a lookup of its own, so events
+    are neither multiplied nor shuffled by id; indicators that fit are broadcast by adaptive execution.
     """
-    pairs = events.select(
-        id_col,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(kind).alias("ioc_type"), F.col(col).cast("string").alias("ioc_value"))
-                    for kind, col in indicators.items()
-                ]
-            )
-        ).alias("_i"),
-    ).select(id_col, "_i.ioc_type", "_i.ioc_value")
-    known = intel.select("ioc_type", "ioc_value").distinct().withColumn("_hit", F.lit(1))
-    hits = lookup_join(pairs, known, ["ioc_type", "ioc_value"])
-    return hits.groupBy(id_col).agg(F.count("_hit").alias("ioc_matches"))
+    out = events.select(id_col, *[F.col(c).cast("string").alias(f"_value{i}") for i, c in enumerate(indicators.values())])
+    for i, kind in enumerate(indicators):
+        known = intel.where(F.col("ioc_type") == kind).select(F.col("ioc_value").alias(f"_value{i}")).distinct()
+        out = lookup_join(out, known.withColumn(f"_hit{i}", F.lit(1)), [f"_value{i}"])
+    hits = sum(F.coalesce(F.col(f"_hit{i}"), F.lit(0)) for i in range(len(indicators)))
+    return out.select(id_col, hits.cast("bigint").alias("ioc_matches"))
 
 
 def with_country(

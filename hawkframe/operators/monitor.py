@@ -154,19 +154,22 @@ def kl_drift(
 
 
 def volume_spikes(
-    counts: DataFrame, offset_s: int = 3600, factor: float = 2.0, by: Sequence[str] = ()
+    counts: DataFrame, offset_s: int = 3600, factor: float = 2.0, by: Sequence[str] = (), seconds: int = 300
 ) -> DataFrame:
     """Windows whose count exceeds `factor` times the count `offset_s` earlier.
 
-    `counts` holds one row per window: `window_start` and `n`.
+    `counts` holds one row per window of `seconds`: `window_start` and `n`. Windows without a row inside a label's span
+    count 0, and anything after silence is +Infinity times as much; before its first window a label has no count.
     """
-    earlier = counts.select(
+    filled = fill_grid(counts.select(*by, "window_start", "n"), seconds, by)
+    earlier = filled.select(
         *by,
         (F.col("window_start") + F.expr(f"INTERVAL {offset_s} SECONDS")).alias("window_start"),
         F.col("n").alias("n_before"),
     )
-    both = counts.join(earlier, [*by, "window_start"])
-    return both.withColumn("ratio", F.col("n") / F.col("n_before")).filter(F.col("ratio") > factor)
+    both = null_safe_join(filled.filter("n > 0"), earlier, [*by, "window_start"])
+    ratio = F.when(F.col("n_before") == 0, float("inf")).otherwise(F.col("n") / F.nullif(F.col("n_before"), F.lit(0)))
+    return both.withColumn("ratio", ratio).filter(F.col("ratio") > factor)
 
 
 def _window_us(name: str = "window_start") -> Column:
@@ -192,9 +195,14 @@ def trailing_average(
 
 
 def unusual_rates(
-    series: DataFrame, by: Sequence[str], factor: float = 3.0, seconds: int = 3600
+    series: DataFrame, by: Sequence[str], factor: float = 3.0, seconds: int = 3600, step_s: int = 300
 ) -> DataFrame:
-    out = trailing_average(series, "rate", seconds, by)
+    """Windows of `step_s` whose rate exceeds `factor` times the average over the last `seconds`, silent windows included.
+
+    `series` has a row per label and window with `n` and `rate`; windows without one inside the label's span have rate 0.
+    """
+    filled = fill_grid(series.select(*by, "window_start", "n", "rate"), step_s, by).withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    out = trailing_average(filled, "rate", seconds, by)
     return out.filter(F.col("rate") > factor * F.col("trailing_avg"))
 
 
@@ -213,15 +221,14 @@ def metric_drift(
     )
 
 
-def fill_grid(counts: DataFrame, seconds: int) -> DataFrame:
-    """All windows between the first and the last; missing ones count 0."""
-    span = counts.agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
+def fill_grid(counts: DataFrame, seconds: int, by: Sequence[str] = ()) -> DataFrame:
+    """All windows between the first and the last of each label; missing ones have `n` 0 and else nulls."""
+    span = counts.groupBy(*by).agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi")).filter("lo is not null")
     grid = span.select(
-        F.explode(F.expr(f"sequence(lo, hi, INTERVAL {seconds} SECONDS)")).alias("window_start")
-    )
-    return grid.join(counts, "window_start", "left").select(
-        "window_start", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+        *by, F.explode(F.expr(f"sequence(lo, hi, INTERVAL {seconds} SECONDS)")).alias("window_start")
     )
+    filled = null_safe_join(grid, counts, [*by, "window_start"], "left")
+    return filled.withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")).select(*counts.columns)
 
 
 def low_volume(counts: DataFrame, seconds: int, floor_per_s: float) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hawkframe.operators.sliced import lookup_join, running_sums, value_slice
+from hawkframe.operators.sliced import RANK_ROWS, lookup_join, ordered_slices, running_sums
 
 
 def stratified_split(
-    df: DataFrame, id_col: str, label: str, train: int = 70, validation: int = 15, seed: str = ""
+    df: DataFrame, id_col: str, label: str, train: int = 70, validation: int = 15, seed: str = "", rows: int = RANK_ROWS
 ) -> DataFrame:
     """Add `split` with exact shares per label, from a hash of the id.
 
-    The hash orders each class at random and its first digits cut the order
-    into even slices, so a large class is ranked in parallel.
+    The hash orders each class at random, and the order is cut into slices of
+    a bounded number of rows, so a large class is ranked in parallel.
     """
     h = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
-    hashed = df.withColumn("_h", h).withColumn("_slice", F.substring("_h", 1, 2))
-    ranked = running_sums(hashed, [label], "_slice", ["_h", id_col], {"_rank": F.lit(1)})
+    hashed = ordered_slices(df.withColumn("_h", h), "_h", rows)
+    ranked = running_sums(hashed, [label], "_vs", ["_h", id_col], {"_rank": F.lit(1)})
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     sized = lookup_join(ranked, sizes, [label])
     at = F.col("_rank") * 100
@@ -30,10 +30,9 @@ def stratified_split(
     return sized.select(*df.columns, split.alias("split"))
 
 
-def row_numbers(df: DataFrame, order: str, alias: str = "row_no") -> DataFrame:
+def row_numbers(df: DataFrame, order: str, alias: str = "row_no", rows: int = RANK_ROWS) -> DataFrame:
     """0-based position in the order of a unique column, without a global sort task."""
-    sliced = df.withColumn("_vs", value_slice(df, order))
-    return running_sums(sliced, [], "_vs", [order], {alias: F.lit(1)}).drop("_vs")
+    return running_sums(ordered_slices(df, order, rows), [], "_vs", [order], {alias: F.lit(1)}).drop("_vs")
 
 
 def batch_ids(df: DataFrame, order: str, size: int) -> DataFrame:

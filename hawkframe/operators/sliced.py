@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hawkframe.session import durable
+
 US = 1_000_000
 DEFAULT_SLICE_S = 120
 
@@ -211,25 +213,19 @@ def fitted_slice(df: DataFrame, key: str, ts: str, rows: int = 50_000, longest_s
     return max(DEFAULT_SLICE_S, min(longest_s, 3600 * rows // busiest)) * US
 
 
-def value_slice(df: DataFrame, column: str, slices: int = 64) -> Column:
-    """Order-preserving slice number with about equal rows per slice.
+RANK_ROWS = 100_000
+
 
-    The edges are approximate quantiles: at most `slices` numbers reach the
-    driver.  Their accuracy only moves the balance, never a result.
+def ordered_slices(df: DataFrame, order: Column | str, rows: int = RANK_ROWS) -> DataFrame:
+    """`df`, written once, with `_vs`: the number of its slice along `order`, of about `rows` rows each.
+
+    Slices are the parts of a range partitioning, as many as the counted rows ask for; rows equal in `order` share one.
     """
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(column, probs, 1000).alias("e")).first()
-    edges = sorted(set(row["e"] or []))
-    return _search(F.col(column), edges, 0)
-
-
-def _search(x: Column, edges: list, base: int) -> Column:
-    if not edges:
-        return F.lit(base)
-    mid = len(edges) // 2
-    return F.when(x <= edges[mid], _search(x, edges[:mid], base)).otherwise(
-        _search(x, edges[mid + 1 :], base + mid + 1)
-    )
+    written = durable(df)
+    slices = -(-written.count() // rows)
+    if slices <= 1:
+        return written.withColumn("_vs", F.lit(0))
+    return durable(written.repartitionByRange(slices, order).withColumn("_vs", F.spark_partition_id()))
 
 
 def ordered_counts(
@@ -238,7 +234,7 @@ def ordered_counts(
     by: Sequence[str] = (),
     weights: dict[str, Column] | None = None,
     descending: bool = False,
-    slices: int = 64,
+    rows: int = RANK_ROWS,
 ) -> DataFrame:
     """One row per (by, value) with counts and the counts of all earlier values.
 
@@ -249,12 +245,9 @@ def ordered_counts(
     counted = df.groupBy(*by, value).agg(
         *[F.sum(w).cast("bigint").alias(n) for n, w in weights.items()]
     )
-    sliced = counted.withColumn("_vs", value_slice(df, value, slices))
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if descending:
-        sliced = sliced.withColumn("_vs", -F.col("_vs"))
     out = running_sums(
-        sliced, by, "_vs", [order], {f"{n}_before": F.col(n) for n in weights}
+        ordered_slices(counted, order, rows), by, "_vs", [order], {f"{n}_before": F.col(n) for n in weights}
     )
     return out.drop("_vs")
 

@@ -3,9 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from hawkframe.operators.intel import with_country
+from hawkframe.operators.intel import ioc_match_counts, with_country
 from hawkframe.operators.limiter import keep_first, limit_calls
-from hawkframe.operators.sliced import fitted_slice
+from hawkframe.operators.monitor import unusual_rates, volume_spikes
+from hawkframe.operators.sampling import row_numbers, stratified_split
+from hawkframe.operators.sliced import fitted_slice, ordered_counts, ordered_slices
 from hawkframe.operators.state import latest_per_event, novel_in_session, trailing
 from hawkframe.plans.features import extract_features
 
@@ -82,3 +84,41 @@ def test_range_search_equals_a_scan(spark):
     got = {r.n: r.country for r in with_country(events, ranges).collect()}
     assert got == {a: next((c for lo, hi, c in some if lo <= a <= hi), None) for a in asked} | {None: None}
     assert with_country(events, ranges.limit(0)).where("country is not null").count() == 0
+
+
+def test_ranks_use_as_many_slices_as_rows_ask_for(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("x"), "id")
+    assert ordered_slices(df, "x", 10_000).select("_vs").distinct().count() > 64
+    some = spark.range(5000).select(F.pmod(F.col("id") * 7919, F.lit(997)).alias("x"), (F.col("id") % 3).alias("g"))
+    for descending in (False, True):
+        got = ordered_counts(some, "x", ["g"], descending=descending, rows=100).select("g", "x", "n", "n_before")
+        order = F.col("x").desc() if descending else F.col("x").asc()
+        counts = some.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, counts.withColumn("n_before", earlier).select("g", "x", "n", "n_before").collect()))
+    numbered = row_numbers(df.limit(3000), "id", rows=50)
+    assert numbered.where("row_no <> id").count() == len([0 for r in numbered.collect() if r.row_no != r.id])
+    assert [r.row_no for r in numbered.orderBy("id").collect()] == list(range(3000))
+    split = stratified_split(some.withColumn("id", F.monotonically_increasing_id()), "id", "g", rows=100)
+    assert {(r.g, r.split): r["count"] for r in split.groupBy("g", "split").count().collect()}[(0, "train")] == 1167
+
+
+def test_noise_after_silence_is_seen(spark):
+    at = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    rows = [("a", at(0), 5), ("a", at(5), 5), ("a", at(120), 50), ("a", at(180), 40), ("b", at(0), 1), ("b", at(60), 3), (None, at(0), 1), (None, at(60), 4)]
+    counts = spark.createDataFrame(rows, "k string, t string, n long").select("k", F.col("t").cast("timestamp_ntz").alias("window_start"), "n")
+    got = sorted((r.k or "", str(r.window_start)[11:16], r.n, r.n_before, r.ratio) for r in volume_spikes(counts, by=["k"]).collect())
+    assert got == [("", "01:00", 4, 1, 4.0), ("a", "02:00", 50, 0, float("inf")), ("b", "01:00", 3, 1, 3.0)]
+    rates = counts.withColumn("rate", F.col("n") / 300.0)
+    unusual = sorted((r.k or "", str(r.window_start)[11:16]) for r in unusual_rates(rates, ["k"], 3.0, 3600).collect())
+    # One loud window in an otherwise silent hour stands out; the first ones of a label are their own average.
+    assert ("a", "02:00") in unusual and ("b", "01:00") in unusual and ("a", "00:00") not in unusual
+
+
+def test_indicator_hits_keep_rows(spark):
+    events = spark.createDataFrame([(1, "x", "y"), (1, "x", None), (2, "q", "y"), (3, None, None)], "event_id long, a string, b string")
+    intel = spark.createDataFrame([("t1", "x"), ("t1", "x"), ("t2", "y"), ("t2", "x")], "ioc_type string, ioc_value string")
+    got = sorted((r.event_id, r.ioc_matches) for r in ioc_match_counts(events, {"t1": "a", "t2": "b"}, intel).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (3, 0)]
