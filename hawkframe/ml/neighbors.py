@@ -1,9 +1,15 @@
-"""Exact nearest neighbours and the local outlier factor (Breunig et al. 2000).
+"""Nearest neighbours and the local outlier factor (Breunig et al. 2000), exact or by random projections.
 
-Points go to the cell of their nearest pivot and each cell is cut into blocks
+Exact: points go to the cell of their nearest pivot and each cell is cut into blocks
 of rings around it.  A query visits only blocks that the triangle inequality
 cannot rule out, so results are exact without comparing every pair of blocks.
-Copies of a point are one point with a weight.
+Copies of a point are one point with a weight.  The driver holds one row of
+bounds per block.
+
+Projections: each of several trees halves the space by random directions at
+medians of a bounded sample, and a query is compared with its leaf in every
+tree.  Leaves are cut into blocks of bounded size, so cost grows with the rows
+alone; some neighbours can be missed.  The caller chooses, never the size.
 """
 
 from __future__ import annotations
@@ -20,7 +26,10 @@ from hawkframe.session import durable
 
 _PIVOTS = 128
 _BLOCK_ROWS = 2048
-_MAX_BLOCKS = 50_000
+_TREES = 16
+_LEAF_ROWS = 2048
+_SAMPLE_ROWS = 20_000
+_DEEPEST = 10
 _QUERY_ROWS = 2048
 _CELLS_IN_MEMORY = 4_000_000
 
@@ -66,7 +75,6 @@ class NeighborIndex:
     def build(points: DataFrame, pivots: int = _PIVOTS, block_rows: int = _BLOCK_ROWS) -> "NeighborIndex":
         n = points.count()
         pivots = int(max(1, min(pivots, np.sqrt(max(n, 1)))))
-        block_rows = max(block_rows, -(-n // _MAX_BLOCKS))
         chosen = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(pivots).collect()
         centre = np.array([r["vec"] for r in chosen])
         placed = points.withColumn("_p", _nearest_pivot(centre)).select(
@@ -115,6 +123,10 @@ class NeighborIndex:
 
         return udf(F.col("vec"))
 
+    def _once(self, found: DataFrame) -> DataFrame:
+        """A point lies in one block, so no pair comes twice."""
+        return found
+
     def nearest(self, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
         """The k nearest points of each query (qid, vec): qid, pid, dist, weight.
 
@@ -168,6 +180,7 @@ class NeighborIndex:
             .applyInPandas(search, f"qid {id_type}, pid {id_type}, dist double, weight bigint")
             .filter("weight > 0")
         )
+        found = self._once(found)
         w = Window.partitionBy("qid").orderBy("dist", "pid")
         before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return (
@@ -177,6 +190,70 @@ class NeighborIndex:
         )
 
 
+@dataclass
+class ProjectionIndex(NeighborIndex):
+    """Leaves of random-projection trees; `directions` (tree, level, dimension) and medians per tree, level and node."""
+
+    directions: np.ndarray | None = None
+    medians: list[list[np.ndarray]] | None = None
+    chunks: int = 1
+
+    @staticmethod
+    def build(points: DataFrame, trees: int = _TREES, leaf_rows: int = _LEAF_ROWS, seed: int = 7) -> "ProjectionIndex":
+        n = points.count()
+        depth = int(np.clip(np.ceil(np.log2(max(n / leaf_rows, 1))), 0, _DEEPEST))
+        chosen = points.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(_SAMPLE_ROWS).collect()
+        sample = np.array([r["vec"] for r in chosen])
+        directions = np.random.default_rng(seed).normal(size=(trees, depth, sample.shape[1]))
+        medians = []
+        for tree in range(trees):
+            levels, code = [], np.zeros(len(sample), np.int64)
+            for level in range(depth):
+                along = sample @ directions[tree, level]
+                cuts = np.array([np.median(along[code == node]) if (code == node).any() else 0.0 for node in range(1 << level)])
+                levels.append(cuts)
+                code = 2 * code + (along > cuts[code])
+            medians.append(levels)
+        chunks = max(1, -(-n // (leaf_rows << depth)))
+        index = ProjectionIndex(points, sample[:1], pd.DataFrame(), directions, medians, chunks)
+        own = F.explode(index._leaves()).alias("_leaf")
+        placed = points.select("pid", "vec", "weight", own)
+        block = (F.col("_leaf") * chunks + F.pmod(F.xxhash64("pid"), F.lit(chunks))).cast("int")
+        index.points = durable(placed.select(block.alias("block"), "pid", "vec", "weight"))
+        return index
+
+    def _leaves(self) -> Column:
+        directions, medians = self.directions, self.medians
+
+        @F.pandas_udf("array<int>")
+        def udf(vec: pd.Series) -> pd.Series:
+            if not len(vec):
+                return pd.Series([], dtype=object)
+            x = np.vstack(vec.to_numpy())
+            out = []
+            for tree, levels in enumerate(medians):
+                code = np.zeros(len(x), np.int64)
+                for level, cuts in enumerate(levels):
+                    code = 2 * code + (x @ directions[tree, level] > cuts[code])
+                out.append(code + (tree << len(levels)))
+            return pd.Series([*np.stack(out, axis=1).astype(np.int32)])
+
+        return udf(F.col("vec"))
+
+    def _route(self, need: int) -> Column:
+        chunks = self.chunks
+        return F.flatten(F.transform(self._leaves(), lambda leaf: F.sequence(leaf * chunks, leaf * chunks + (chunks - 1))))
+
+    def _once(self, found: DataFrame) -> DataFrame:
+        return found.dropDuplicates(["qid", "pid"])
+
+
+def _index(points: DataFrame, method: str) -> NeighborIndex:
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"method must be exact or lsh, not {method}")
+    return NeighborIndex.build(points) if method == "exact" else ProjectionIndex.build(points)
+
+
 @dataclass
 class LocalOutlierFactor:
     """`table` holds pid, vec, weight, k-distance and density of the training points."""
@@ -184,16 +261,18 @@ class LocalOutlierFactor:
     table: DataFrame
     k: int
     offset: float
+    method: str = "exact"
     _index: NeighborIndex | None = None
 
     @staticmethod
     def fit(
-        df: DataFrame, id_col: str, features: str = "features", k: int = 20, contamination: float = 0.02
+        df: DataFrame, id_col: str, features: str = "features", k: int = 20, contamination: float = 0.02, method: str = "exact"
     ) -> "LocalOutlierFactor":
+        """`method="lsh"` compares points only within leaves of random-projection trees; `k` should stay far below 2,048."""
         points = durable(distinct_points(df, id_col, features))
         n = points.agg(F.sum("weight")).first()[0]
         k = int(max(1, min(k, n - 1)))
-        index = NeighborIndex.build(points)
+        index = _index(points, method)
         own = durable(index.nearest(points.select(F.col("pid").alias("qid"), "vec"), k, skip_self=True))
         kdist = own.groupBy(F.col("qid").alias("pid")).agg(F.max("dist").alias("kdist"))
         density = _density(lookup_join(own, kdist, ["pid"], "inner"), k)
@@ -205,11 +284,11 @@ class LocalOutlierFactor:
             weighted.select((-F.col("lof")).alias("s"), "weight"), "s", {"offset": contamination}, weight="weight"
         )
         offset = cut.first()["offset"]
-        return LocalOutlierFactor(table, k, float(offset), index)
+        return LocalOutlierFactor(table, k, float(offset), method, index)
 
     def score(self, df: DataFrame, id_col: str, features: str = "features") -> DataFrame:
         """Add `lof` and `lof_decision` (negative: outlier) to new rows."""
-        index = self._index or NeighborIndex.build(self.table.select("pid", "vec", "weight"))
+        index = self._index or _index(self.table.select("pid", "vec", "weight"), self.method)
         self._index = index
         queries = durable(
             distinct_points(df.where(F.forall(F.col(features).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v))), id_col, features).select(F.col("pid").alias("qid"), "vec")
@@ -224,13 +303,13 @@ class LocalOutlierFactor:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.table.write.mode("overwrite").parquet(f"{path}/points")
-        meta = [(self.k, self.offset)]
-        spark.createDataFrame(meta, "k int, offset double").write.mode("overwrite").parquet(f"{path}/meta")
+        meta = [(self.k, self.offset, self.method)]
+        spark.createDataFrame(meta, "k int, offset double, method string").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LocalOutlierFactor":
         meta = spark.read.parquet(f"{path}/meta").first()
-        return LocalOutlierFactor(spark.read.parquet(f"{path}/points"), meta["k"], meta["offset"])
+        return LocalOutlierFactor(spark.read.parquet(f"{path}/points"), meta["k"], meta["offset"], meta["method"])
 
 
 def _density(near: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from hawkframe.ml.neighbors import LocalOutlierFactor, ProjectionIndex, distinct_points
 from hawkframe.operators.intel import ioc_match_counts, with_country
 from hawkframe.operators.limiter import keep_first, limit_calls
 from hawkframe.operators.monitor import unusual_rates, volume_spikes
@@ -122,3 +123,29 @@ def test_indicator_hits_keep_rows(spark):
     intel = spark.createDataFrame([("t1", "x"), ("t1", "x"), ("t2", "y"), ("t2", "x")], "ioc_type string, ioc_value string")
     got = sorted((r.event_id, r.ioc_matches) for r in ioc_match_counts(events, {"t1": "a", "t2": "b"}, intel).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (3, 0)]
+
+
+def test_projection_neighbours_reach_recall(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 12)) * 3
+    x = centres[rng.integers(30, size=6000)] + rng.normal(size=(6000, 12))
+    x[-5:] += 40
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(6000 + i, x[0].tolist()) for i in range(5)], "id long, features array<double>").repartition(8)
+    points = distinct_points(df, "id", "features").persist()
+    index = ProjectionIndex.build(points, leaf_rows=500)
+    assert index.points.groupBy("block").count().agg(F.max("count")).first()[0] <= 1000
+    queries = points.where("pid % 10 = 0").select(F.col("pid").alias("qid"), "vec")
+    got = {}
+    for r in index.nearest(queries, 10, skip_self=True).collect():
+        got.setdefault(r.qid, set()).add(r.pid)
+    hits = wanted = 0
+    for i in range(10, 6000, 10):
+        true = [j for j in np.argsort(((x - x[i]) ** 2).sum(1), kind="stable") if j != i][:10]
+        hits, wanted = hits + len(got[i] & {*true}), wanted + 10
+    assert hits >= 0.9 * wanted
+    model = LocalOutlierFactor.fit(df.where("id not between 5995 and 5999"), "id", k=10, contamination=0.002, method="lsh")
+    model.save(spark, str(tmp_path / "lof"))
+    again = LocalOutlierFactor.load(spark, str(tmp_path / "lof"))
+    assert again.method == "lsh"
+    worst = {r.id for r in again.score(df, "id").orderBy(F.desc("lof")).limit(5).collect()}
+    assert worst == {*range(5995, 6000)}
