@@ -6,10 +6,11 @@ its order that of their fingerprints. Texts are laid end to end in the order of
 1. Cover sample: positions p with p mod 31 in a difference cover. Whatever the alignment of two suffixes, within 31
    steps both meet a sampled position, so equal suffixes share a sampled string of LENGTH - 30 bytes. The sample is
    sorted bucket by bucket; a group gets one bit for each of its strings: does it occur elsewhere.
-2. Suffixes without such a string in reach cannot tie with any other and are not sorted at all. The others go to
-   buckets of fingerprints, and one bucket at a time is sorted. Groups are in document order, so
+2. Suffixes without such a string in reach cannot tie with any other and are not sorted at all; a bitmap per group
+   says which ones can. Only these are read again.
+3. They go to buckets of fingerprints, and one bucket at a time is sorted. Groups are in document order, so
    a suffix is a repeat if an earlier group has it; again the answer is one bit.
-3. Each group marks its repeated suffixes and drops the bytes under them.
+4. Each group marks its repeated suffixes and drops the bytes under them.
 
 Buckets get each different string once per group, compressed as differences, so neither a passage that a third of all
 texts share nor a frequent string makes one large.
@@ -17,9 +18,7 @@ texts share nor a frequent string makes one large.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 import uuid
 
 import numpy as np
@@ -33,101 +32,87 @@ PERIOD = 31
 # A difference cover modulo 31 (a perfect difference set): every residue is a difference of two of these.
 COVER = (1, 5, 11, 24, 25, 27)
 SAMPLED = LENGTH - PERIOD + 1
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = left * MUL
-    h ^= h >> np.uint64(29)
-    h += right
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+def fingerprints(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Fingerprints of the strings of `length` bytes at some places; `words` are the 8 bytes from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for offset in (*range(0, length - 7, 8), length - 8):
+        h *= MUL
+        h ^= h >> np.uint64(29)
+        h += words[at + offset]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
     return h
 
 
-def fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the SAMPLED- and of the LENGTH-byte strings that start at each position, by doubling."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    one = (data.astype(np.uint64) + np.uint64(1)) * MUL
-    two = _join(one[:-1], one[1:])
-    four = _join(two[:-2], two[2:])
-    eight = _join(four[:-4], four[4:])
-    sixteen = _join(eight[:-8], eight[8:])
-    n, m = len(data) - SAMPLED + 1, len(data) - LENGTH + 1
-    twenty = _join(sixteen[:n], four[16 : 16 + n])
-    long = _join(_join(sixteen[:m], sixteen[16 : 16 + m]), _join(sixteen[32 : 32 + m], two[48 : 48 + m]))
-    return twenty, long
-
-
 class Group:
-    """Texts laid end to end; `rank` numbers the different ids in order, per byte through `owner`."""
+    """Texts laid end to end; `owner` numbers the different ids in order, per byte."""
 
-    def __init__(self, ids: list[int], sizes: list[int], packed: bytes, cover_bits: int):
+    def __init__(self, ids: list[int], sizes: list[int], packed: bytes):
         import zstandard
 
         self.ids, self.sizes = ids, np.array(sizes, np.int64)
         data = zstandard.ZstdDecompressor().decompress(packed) if self.sizes.sum() else b""
         self.data = np.frombuffer(data, np.uint8)
+        # One word at each byte; no string asked for reaches into the padding.
+        self.words = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
         self.ends = np.cumsum(self.sizes)
         rank = np.cumsum(np.r_[0, np.diff(np.array(ids)) != 0][: len(ids)])
-        self.owner = np.repeat(rank, self.sizes).astype(np.int32)
-        self.last = np.repeat(self.ends.astype(np.int32) if len(data) < 1 << 31 else self.ends, self.sizes)
-        twenty, self.long = fingerprints(self.data)
-        place = np.arange(len(twenty))
-        sample = place[np.isin(place % PERIOD, COVER)]
-        self.sample = sample[sample + SAMPLED <= self.last[sample]]
-        self.sampled = twenty[self.sample] >> np.uint64(64 - cover_bits)
-
-    def cover(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different sampled strings, which of them each sample is, and whether two ids here have it."""
-        keys, which, several = _different(self.sampled, self.owner[self.sample])
-        return keys, which, several > 0
-
-    def candidates(self, shared: np.ndarray, which: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of suffixes that may tie; their different keys; which key each has; whether a smaller id here has it."""
+        self.owner = np.repeat(rank.astype(np.int32), self.sizes)
+
+    def inside(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Those of the places (in order) whose strings end within their text."""
+        return at[at + length <= self.ends[np.searchsorted(self.ends, at, "right")]] if len(at) else at
+
+    def sample(self) -> np.ndarray:
+        """Places of the cover sample."""
+        at = (np.arange(0, len(self.data), PERIOD)[:, None] + np.array(COVER)).ravel()
+        return self.inside(at[at < len(self.data)], SAMPLED)
+
+    def keys(self, at: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the strings at these places: the different keys in order, the number of each string's key among them,
+        and the smallest and the largest owner of each key."""
+        key = fingerprints(self.words, at, length) >> np.uint64(64 - bits)
+        if not len(key):
+            return key, *(np.zeros(0, np.int32) for _ in range(3))
+        order = np.argsort(key)
+        ranked, who = key[order], self.owner[at][order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        which = np.empty(len(key), np.int32)
+        which[order] = np.cumsum(new, dtype=np.int32) - 1
+        first = np.flatnonzero(new)
+        return ranked[first], which, np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+
+    def candidates(self, shared: np.ndarray) -> np.ndarray:
+        """Bitmap of the suffixes that have one of these places within PERIOD steps."""
         near = np.zeros(len(self.data) + PERIOD + 1, np.int32)
-        near[self.sample[shared[which]] + 1] = 1
+        near[shared + 1] = 1
         near = np.cumsum(near, dtype=np.int32)
-        m = len(self.long)
-        ok = (near[PERIOD : PERIOD + m] > near[:m]) & (np.arange(m) + LENGTH <= self.last[:m])
-        start = np.flatnonzero(ok)
-        key = self.long[start] >> np.uint64(64 - bits)
-        keys, which, _ = _different(key, self.owner[start])
-        first = np.full(len(keys), np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(first, which, self.owner[start])
-        return start, keys, which, self.owner[start] > first[which]
+        return np.packbits(near[PERIOD:-1] > near[: -PERIOD - 1])
+
+    def starts(self, bitmap: bytes) -> np.ndarray:
+        """Places of the suffixes of a bitmap that have LENGTH bytes in their text."""
+        return self.inside(np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(self.data))), LENGTH)
 
     def removed(self, starts: np.ndarray) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
         """Per text: bytes, removed bytes, SHA-256 of the rest, and removed runs as [first, last)."""
         step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, starts, 1)
-        np.add.at(step, starts + LENGTH, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        step[starts] += 1
+        step[starts + LENGTH] -= 1
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         out = []
         for end, size in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
             own = gone[end - size : end]
-            edge = np.flatnonzero(np.diff(np.r_[0, own.astype(np.int8), 0]))
-            rest = self.data[end - size : end][~own]
-            out.append((size, int(own.sum()), hashlib.sha256(rest.tobytes()).hexdigest(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))))
+            edge = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
+            rest = self.data[end - size : end][~own] if len(edge) else self.data[end - size : end]
+            out.append((size, int((edge[1::2] - edge[::2]).sum()), hashlib.sha256(rest).hexdigest(), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))))
         return out
 
 
-def _different(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted different keys, the number of each key among them, and the spread of owners of each."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.r_[True, ranked[1:] != ranked[:-1]]
-    which = np.empty(len(keys), np.int32)
-    which[order] = np.cumsum(new) - 1
-    at, who = np.flatnonzero(new), owner[order]
-    return ranked[at], which, np.maximum.reduceat(who, at) - np.minimum.reduceat(who, at)
-
-
 def _packed(keys: np.ndarray) -> bytes:
     import zstandard
 
@@ -189,15 +174,6 @@ def _bits(answer: list[dict] | None, keys: np.ndarray, bits: int, parts: int) ->
     return out
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose results are written; it works on what both garbage
-    collections have found, a moment later."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """Write `df` to the shared folder as a table bucketed by `key`, so that joins on it leave these rows where they are."""
     spark = df.sparkSession
@@ -246,37 +222,48 @@ def repeated_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
     cover_bits = min(64, max(24, total.bit_length() + 6))
     bits = 64
     groups = grouped_texts(named, group_bytes)
-    _release(docs)
 
     def load(columns, i):
-        return Group(columns["ids"][i], columns["sizes"][i], columns["packed"][i], cover_bits)
+        return Group(columns["ids"][i], columns["sizes"][i], columns["packed"][i])
 
     def send_cover(columns):
         for i, g in enumerate(columns["g"]):
-            yield _sent(g, load(columns, i).cover()[0], cover_bits, parts)
+            group = load(columns, i)
+            yield _sent(g, group.keys(group.sample(), SAMPLED, cover_bits)[0], cover_bits, parts)
 
     sent = "g long, part long, keys binary"
     first = _answers(map_batches(groups, send_cover, sent), earlier=False)
-    known = groups.join(first, "g", "left")
-    _release(docs)
+
+    def mark(columns):
+        import zstandard
+
+        for i, g in enumerate(columns["g"]):
+            group = load(columns, i)
+            at = group.sample()
+            keys, which, low, high = group.keys(at, SAMPLED, cover_bits)
+            shared = (low < high) | _bits(columns["answer"][i], keys, cover_bits, parts)
+            yield {"g": [g], "bitmap": [zstandard.ZstdCompressor(level=1).compress(group.candidates(at[shared[which]]))]}
+
+    bitmaps = durable(map_batches(groups.join(first, "g", "left"), mark, "g long, bitmap binary"))
+    marked = groups.join(bitmaps, "g")
 
     def suffixes(columns, i):
+        import zstandard
+
         group = load(columns, i)
-        keys, which, several = group.cover()
-        shared = several | _bits(columns["answer"][i], keys, cover_bits, parts)
-        return group, *group.candidates(shared, which, bits)
+        start = group.starts(zstandard.ZstdDecompressor().decompress(columns["bitmap"][i]) if len(group.data) else b"")
+        return group, start, *group.keys(start, LENGTH, bits)
 
     def send_suffixes(columns):
         for i, g in enumerate(columns["g"]):
             yield _sent(g, suffixes(columns, i)[2], bits, parts)
 
-    second = _answers(map_batches(known, send_suffixes, sent), earlier=True)
-    _release(docs)
+    second = _answers(map_batches(marked, send_suffixes, sent), earlier=True)
 
     def cut(columns):
         for i in range(len(columns["g"])):
-            group, start, keys, which, own = suffixes(columns, i)
-            gone = own | _bits(columns["late"][i], keys, bits, parts)[which]
+            group, start, keys, which, low, _ = suffixes(columns, i)
+            gone = (group.owner[start] > low[which]) | _bits(columns["late"][i], keys, bits, parts)[which]
             made = group.removed(start[gone])
             yield {
                 "doc_id": group.ids,
@@ -287,7 +274,7 @@ def repeated_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
             }
 
     out = "doc_id long, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<first: long, last: long>>"
-    found = map_batches(known.join(second.withColumnRenamed("answer", "late"), "g", "left"), cut, out)
+    found = map_batches(marked.join(second.withColumnRenamed("answer", "late"), "g", "left"), cut, out)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     unnamed = docs.where(F.col("doc_id").isNull()).select(
         F.lit(None).cast("long").alias("doc_id"),

@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hawkframe.llm import annsearch, ngramlm, secrets, toxicity
+from hawkframe.llm import annsearch, ngramlm, secrets, suffixdedup, toxicity
 from hawkframe.llm.common import table
 from hawkframe.llm.queries import QUERIES, SQL
 from oracle import compare, connect
@@ -80,6 +81,14 @@ def test_repeats_equal_brute_force(spark, sf):
     check_repeats(rows, got)
 
 
+def test_repeats_over_many_groups_and_buckets(spark, sf, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BUCKET_BYTES", 60_000)
+    docs = table(spark, sf, "documents")
+    found = suffixdedup.repeated_spans(docs, group_bytes=20_000)
+    got = {r.doc_id: r for r in found.withColumn("n_spans", F.size("spans")).collect()}
+    check_repeats(sorted((i, t.encode()) for i, t, _ in documents(spark, sf)), got)
+
+
 def check_repeats(rows, got):
     first: dict[bytes, int] = {}
     for i, b in rows:
