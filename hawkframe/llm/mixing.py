@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hawkframe.llm.common import WORD, copies, durable, running_sum
-from hawkframe.llm.permute import permuted, quotient
+from hawkframe.llm.common import WORD, copies, durable, running_sum, text_partitions
+from hawkframe.llm.permute import quotient, with_permuted
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 128
@@ -44,7 +44,7 @@ def source_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
 
 def packed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "size")) -> DataFrame:
     """Documents laid end to end in each source, in the order of `keys`: one row per document with `start`."""
-    groups = docs.groupBy("source", *keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.col("size") * F.col("_n"))
+    groups = durable(docs.groupBy("source", *keys).agg(F.count(F.lit(1)).alias("_n"))).withColumn("_all", F.col("size") * F.col("_n"))
     laid = running_sum(groups, list(keys), "_all", "_before", by=["source"])
     laid = copies(laid, "_n", "_i").withColumn("start", F.col("_before") + F.col("_i") * F.col("size"))
     return laid.select("source", *keys, "start")
@@ -60,15 +60,13 @@ def segments(laid: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut.withColumn("offset", first - F.col("start")).withColumn("words", last - first)
 
 
-def mix_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
-    """The mix: one row per output slot with `shard`, `slot`, `source`, `block` and `epoch`.
+def shard_draws(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """The draw of sources per output shard: one row per shard and source in it, with `shard`, `source`, `drawn` (slots of
+    the shard that it gets), `first` (how many it gets in earlier shards), `_blocks` and `_nth` of the source.
 
-    A source's blocks number ceil(words / block_words), its slots target / words times as many, rounded.
-    All slots of all sources, in source order, are dealt to places by one pseudorandom permutation; places are
-    cut into shards of `shard_blocks`. Each shard's source counts are thus a multinomial draw given that
-    the totals hit the targets exactly. The j-th slot of a source takes the block at place j mod blocks
-    of a permutation of its blocks, another one for each epoch j div blocks: no block is used once more
-    before all others have been.
+    A source's blocks number ceil(words / block_words), its slots target / words times as many, rounded. All slots of all
+    sources are dealt to places by one pseudorandom permutation, places are cut into shards of `shard_blocks`, and counted:
+    the counts of a shard are a multinomial draw given that the totals hit the targets exactly.
     """
     b = F.lit(block_words).cast("long")
     plan = targets.where(F.col("source_size") > 0)
@@ -79,35 +77,49 @@ def mix_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks:
     plan = plan.withColumn("_total", F.sum("_slots").over(Window.partitionBy()))
     chunk = F.lit(8192).cast("long")
     chunks = plan.where(F.col("_slots") > 0).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, chunk)))
-    chunks = chunks.repartition("_nth", "_c")
+    # By number, or the few rows would be merged into one task that computes all places.
+    chunks = chunks.repartition(text_partitions(targets), "_nth", "_c")
     slots = chunks.withColumn("_j", F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + chunk, F.col("_slots")) - 1)))
-    place = permuted(F.col("_first") + F.col("_j"), F.col("_total"), F.lit(seed).cast("long"))
-    epoch = quotient(F.col("_j"), F.col("_blocks"))
-    block = permuted(F.col("_j") % F.col("_blocks"), F.col("_blocks"), F.lit(seed).cast("long") + F.col("_nth") * 31 + epoch * 7)
-    slots = slots.withColumn("_place", place)
-    return slots.select(
-        quotient(F.col("_place"), F.lit(shard_blocks).cast("long")).alias("shard"),
-        (F.col("_place") % shard_blocks).alias("slot"),
-        F.col("_source").alias("source"),
-        block.alias("block"),
-        epoch.alias("epoch"),
-    )
+    slots = with_permuted(slots, "_place", F.col("_first") + F.col("_j"), F.col("_total"), F.lit(seed).cast("long"))
+    shard = quotient(F.col("_place"), F.lit(shard_blocks).cast("long")).alias("shard")
+    drawn = slots.groupBy("_nth", shard, F.col("_source").alias("source"), "_blocks").agg(F.count(F.lit(1)).alias("drawn"))
+    return running_sum(durable(drawn), ["shard"], "drawn", "first", by=["_nth"])
+
+
+def mix_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 11) -> DataFrame:
+    """The mix: one row per output slot with `shard`, `slot`, `source`, `block` and `epoch`.
+
+    Shards draw their sources' counts (`shard_draws`). The j-th slot of a source, counted over the shards in order, takes the
+    block at place j mod blocks of a permutation of its blocks, another one for each epoch j div blocks: no block is
+    used once more before all others have been. Inside a shard the slots are shuffled by a permutation of its own.
+    """
+    draws = shard_draws(targets, block_words, shard_blocks, seed)
+    seed = F.lit(seed).cast("long")
+    in_shard = Window.partitionBy("shard")
+    draws = draws.withColumn("_ahead", F.sum("drawn").over(in_shard.orderBy("_nth")) - F.col("drawn")).withColumn("_filled", F.sum("drawn").over(in_shard))
+    slots = draws.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1))).withColumn("_j", F.col("first") + F.col("_i"))
+    slots = slots.withColumn("epoch", quotient(F.col("_j"), F.col("_blocks")))
+    slots = with_permuted(slots, "block", F.col("_j") % F.col("_blocks"), F.col("_blocks"), seed + F.col("_nth") * 31 + F.col("epoch") * 7)
+    slots = with_permuted(slots, "slot", F.col("_ahead") + F.col("_i"), F.col("_filled"), seed + F.col("shard") * 13)
+    return slots.select("shard", "slot", "source", "block", "epoch")
 
 
 def pieces_in_mix(laid: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
     """Pieces of the laid documents joined by source and block index with the slots that take them.
 
-    A piece is words [offset, offset + words) of its document; `times` is how often the mix takes it.
+    A piece is words [offset, offset + words) of its document; `times` is how often the mix takes it, `first_shard` the
+    first shard that does.
     """
     slots = mix_slots(targets, block_words, seed=seed)
-    drawn = slots.groupBy(F.col("source").alias("_src"), F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("_times"))
+    drawn = slots.groupBy(F.col("source").alias("_src"), F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("_times"), F.min("shard").alias("first_shard"))
     pieces = segments(laid, block_words)
     hit = pieces["source"].eqNullSafe(drawn["_src"]) & (pieces["block"] == drawn["_block"])
     return pieces.join(drawn, hit, "left").withColumn("times", F.coalesce("_times", F.lit(0))).drop("_src", "_block", "_times")
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and `taken`, the words that the mix takes of it.
+    """Per document: doc_id, size, source_size, target, `taken`, the words that the mix takes of it, and
+    `first_shard`, the first shard of the mix that holds some of them (null where nothing is taken).
 
     Null ids and sources are values; repeated rows are laid one after the other; documents without
     words are returned with taken 0; an empty table gives no rows. A source's slots are at most three times
@@ -117,32 +129,37 @@ def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[i
     laid = packed(sized)
     targets = durable(source_targets(laid, weights))
     row = ["doc_id", "source", "size", "start"]
-    taken = pieces_in_mix(laid, targets, block_words, seed).groupBy(*row).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    empty = laid.where(F.col("size") == 0).select(*row, F.lit(0).cast("long").alias("taken"))
+    taken = pieces_in_mix(laid, targets, block_words, seed).groupBy(*row).agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("first_shard").alias("first_shard"))
+    empty = laid.where(F.col("size") == 0).select(*row, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
     out = taken.unionByName(empty)
     out = out.join(targets, out["source"].eqNullSafe(targets["_source"]))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
     """The mix as documents with the columns of `docs`: for each time that words of a document are taken,
     one row whose text is those words in order, with the white space before each; n_chars follows the text.
 
-    Documents of which nothing is taken, and those without words, leave. Rows are recognised by id, source,
-    size and a hash of their text; rows equal in these are laid and taken one by one.
+    Documents of which nothing is taken, and those without words, leave. Rows are recognised by id, source, size and a hash
+    of all their columns but maps; rows equal in these are laid and taken one by one. Nulls are values; columns of any name may
+    ride along; an empty table gives no rows.
     """
-    keys = ("doc_id", "size", "_text")
-    keyed = docs.withColumn("size", word_count()).withColumn("_text", F.xxhash64("text", "lang", "n_chars"))
+    every = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    types = dict(docs.dtypes)
+    hashed = F.xxhash64(*[col for c, col in every.items() if "map<" not in types[c]])
+    keyed = docs.select("doc_id", "source", word_count().alias("size"), hashed.alias("_hash"), F.struct(*every.values()).alias("_row"))
+    keys = ("doc_id", "size", "_hash")
     laid = packed(keyed.select("source", *keys), keys)
     pieces = pieces_in_mix(laid, durable(source_targets(laid, weights)), block_words, seed).where(F.col("times") > 0)
     parts = pieces.groupBy("source", *keys, "start").agg(F.array_sort(F.collect_list(F.struct("offset", "words", "times"))).alias("_parts"), F.max("times").alias("_most"))
     parts = parts.select(*[F.col(c).alias(f"_p_{c}") for c in ("source", *keys)], "_parts", "_most")
     texts = keyed.dropDuplicates(["source", *keys])
     same = texts["doc_id"].eqNullSafe(parts["_p_doc_id"]) & texts["source"].eqNullSafe(parts["_p_source"])
-    same = same & (texts["size"] == parts["_p_size"]) & (texts["_text"] == parts["_p__text"])
-    out = texts.join(parts, same).withColumn("_words", F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
+    same = same & (texts["size"] == parts["_p_size"]) & (texts["_hash"] == parts["_p__hash"])
+    out = texts.join(parts, same).withColumn("_words", F.regexp_extract_all(F.col("_row")["text"], F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
     out = out.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_most"))))
     pick = F.filter("_parts", lambda p: p["times"] >= F.col("_time"))
     runs = F.transform(pick, lambda p: F.array_join(F.slice(F.col("_words"), (p["offset"] + 1).cast("int"), p["words"].cast("int")), ""))
-    out = out.withColumn("text", F.array_join(runs, "")).withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = out.withColumn("_text", F.array_join(runs, ""))
+    made = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(types["n_chars"])} if "n_chars" in types else {})
+    return out.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

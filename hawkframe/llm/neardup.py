@@ -302,7 +302,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keepers = every.join(named.select("node", "label"), "node").groupBy("label").agg(F.min(first).alias("k"))
     keepers = keepers.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    with_hash = docs.where(~wordless).withColumn("_text_hash", F.xxhash64("text"))
-    kept = with_hash.join(keepers, with_hash["doc_id"].eqNullSafe(keepers["_id"]) & (F.col("_text_hash") == F.col("_hash")))
-    kept = kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
-    return kept.unionByName(docs.where(wordless))
+    # The row rides along as one value, so that no column of it can clash with those of the join.
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    rows = docs.where(~wordless).select(whole.alias("_row"), F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"))
+    kept = rows.join(keepers, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
+    kept = kept.dropDuplicates(["_id", "_hash"]).select("_row.*")
+    return kept.union(docs.where(wordless))

@@ -8,7 +8,7 @@ below 2^62 is used, so any engine gives the same permutation. n may be up to 2^6
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOUBLE_ROUNDS = 3
@@ -49,6 +49,21 @@ def permuted(x: Column, n: Column, seed: Column) -> Column:
     return F.when(once < n, once).otherwise(walk)
 
 
+def with_permuted(df: DataFrame, out: str, x: Column, n: Column, seed: Column) -> DataFrame:
+    """`df` with `out`, the place of `x` as in `permuted`. The rounds are columns of successive projections, so that each is
+    compiled and computed once; only the few values that land outside are walked by the interpreted form."""
+    step = df.select(*df.columns, x.alias("_fx"), n.alias("_fn"), seed.alias("_fs"))
+    x, n, seed, a, b, left, right, y = (F.col(c) for c in ("_fx", "_fn", "_fs", "_fa", "_fb", "_fl", "_fr", "_fy"))
+    step = step.withColumn("_fa", F.greatest(F.ceil(F.sqrt(n)).cast("long"), F.lit(1).cast("long")))
+    step = step.withColumns({"_fb": quotient(n + a - 1, a), "_fl": x % a, "_fr": quotient(x, a)})
+    for i in range(1, DOUBLE_ROUNDS + 1):
+        step = step.withColumn("_fl", (left + _mix(right, _key(seed, F.lit(2 * i).cast("long")))) % a)
+        step = step.withColumn("_fr", (right + _mix(left, _key(seed, F.lit(2 * i + 1).cast("long")))) % b)
+    step = step.withColumn("_fy", right * a + left)
+    walk = F.aggregate(F.sequence(F.lit(0).cast("long"), a * b - n), y, lambda v, _: F.when(v < n, v).otherwise(_network(v, a, b, seed)))
+    return step.select(*df.columns, F.when(y < n, y).otherwise(walk).alias(out))
+
+
 def network_sql(x: str, a: str, b: str, seed: str) -> str:
     """The network as one DuckDB expression over the names given."""
 

@@ -50,11 +50,14 @@ p AS (SELECT *, (w + 127) // 128 AS blocks, round(target * ((w + 127) // 128) /
 j AS (SELECT source, nth, blocks, unnest(range(slots)) AS j FROM p),
 bp AS (SELECT (nth, j) AS key, j % blocks AS x, blocks AS n, 11 + nth * 31 + j // blocks * 7 AS seed FROM j),
 {_permuted_sql("bp", "bq")},
-times AS (SELECT key[1] AS nth, place AS block, count(*) AS times FROM bq GROUP BY ALL),
+dp AS (SELECT (nth, j) AS key, j + (SELECT coalesce(sum(e.slots), 0) FROM p e WHERE e.nth < j.nth)::BIGINT AS x, (SELECT sum(slots) FROM p)::BIGINT AS n, 11::BIGINT AS seed FROM j),
+{_permuted_sql("dp", "dq")},
+dealt AS (SELECT key[1] AS nth, row_number() OVER (PARTITION BY key[1] ORDER BY place) - 1 AS j, place // 1024 AS shard FROM dq),
+times AS (SELECT dealt.nth, place AS block, count(*) AS times, min(shard) AS shard FROM bq JOIN dealt ON bq.key[1] = dealt.nth AND bq.key[2] = dealt.j GROUP BY ALL),
 cut AS (SELECT *, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM laid WHERE size > 0),
-taken AS (SELECT r, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0))::BIGINT AS taken
+taken AS (SELECT r, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0))::BIGINT AS taken, min(times.shard) AS first_shard
     FROM cut JOIN s ON s.source IS NOT DISTINCT FROM cut.source LEFT JOIN times USING (nth, block) GROUP BY r)
-SELECT doc_id, size, t.w AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+SELECT doc_id, size, t.w AS source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_shard
 FROM laid JOIN t ON t.source IS NOT DISTINCT FROM laid.source LEFT JOIN taken USING (r)
 """
 

@@ -151,3 +151,32 @@ def test_secrets_by_token_efficiency():
     assert [text[a:b] for a, _, b in spans] == [random_key] and [k for _, k, _ in base] == [2]
     assert secrets.base_spans('TOKEN = "abcdef" token=abc password:abcdefg')[0][:2] == (0, 0)
     assert secrets.chars_per_token("ab1" * 5000) > 0 and secrets.base_spans("") == []
+
+
+def test_clashing_columns_ride_along(spark):
+    docs = odd_documents(spark)
+    names = ("size", "_text", "_words", "_id", "_hash", "_row", "_n", "_all", "start", "label", "node", "first_shard", "drawn", "shard", "a.b")
+    odd = docs.select("*", *[mixing.F.lit(f"own {c}").alias(c) for c in names])
+    for made, plain in ((mixing.mix_documents(odd), mixing.mix_documents(docs)), (neardup.keep_one(odd), neardup.keep_one(docs))):
+        assert made.columns == odd.columns
+        rows = made.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in names)
+        assert sorted(r.text or "" for r in rows) == sorted(r.text or "" for r in plain.collect())
+
+
+def test_rows_that_differ_in_one_more_column_both_stay_in_the_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c", "en", "x", 5, "left"), (1, "a b c", "en", "x", 5, "right")], "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    assert {r.extra for r in mixing.mix_documents(docs).collect()} == {"left", "right"}
+
+
+def test_slots_of_the_mix_fill_its_shards(spark):
+    targets = spark.createDataFrame([("a", 5000, 1, 9000.0), ("b", 3001, 5, 1500.0), (None, 0, 2, 0.0)], "_source string, source_size long, weight int, target double")
+    rows = mixing.mix_slots(targets, 10, 64).toPandas()
+    assert len(rows) == 900 + 150 and rows.groupby("shard").slot.apply(lambda s: sorted(s) == [*range(len(s))]).all()
+    counts = rows.groupby("shard").size()
+    assert (counts.iloc[:-1] == 64).all() and counts.iloc[-1] == 1050 % 64
+    # Each shard has its own draw, and no block comes once more before all others have come.
+    share = rows[rows.source == "a"].groupby("shard").size() / counts
+    assert share.iloc[:-1].nunique() > 3 and abs(share.iloc[:-1].mean() - 900 / 1050) < 0.05
+    used = rows[rows.source == "a"].groupby("block").size()
+    assert len(used) == 500 and used.min() == 1 and used.max() == 2
