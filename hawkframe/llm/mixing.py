@@ -112,6 +112,8 @@ def pieces_in_mix(laid: DataFrame, targets: DataFrame, block_words: int = BLOCK_
     """
     slots = mix_slots(targets, block_words, seed=seed)
     drawn = slots.groupBy(F.col("source").alias("_src"), F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("_times"), F.min("shard").alias("first_shard"))
+    # Written, so that the planner need not derive what holds for the rounds of the permutations beyond this join.
+    drawn = durable(drawn)
     pieces = segments(laid, block_words)
     hit = pieces["source"].eqNullSafe(drawn["_src"]) & (pieces["block"] == drawn["_block"])
     return pieces.join(drawn, hit, "left").withColumn("times", F.coalesce("_times", F.lit(0))).drop("_src", "_block", "_times")
