@@ -221,7 +221,11 @@ def ordered_slices(df: DataFrame, order: Column | str, rows: int = RANK_ROWS) ->
 
     Slices are the parts of a range partitioning, as many as the counted rows ask for; rows equal in `order` share one.
     """
-    written = durable(df)
+    return number_slices(durable(df), order, rows)
+
+
+def number_slices(written: DataFrame, order: Column | str, rows: int = RANK_ROWS) -> DataFrame:
+    """`ordered_slices` of rows that are written already."""
     slices = -(-written.count() // rows)
     if slices <= 1:
         return written.withColumn("_vs", F.lit(0))

@@ -1,6 +1,9 @@
 """Repeated event ids, one sweep for all windows, and range search."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hawkframe.ml.neighbors import LocalOutlierFactor, ProjectionIndex, distinct_points
@@ -36,6 +39,28 @@ def test_rows_in_are_rows_out_with_repeated_ids(spark):
     assert first == [("", 4, 0), ("a", 1, 80), ("a", 1, 443), ("a", 3, 22), ("a", 3, 23), ("b", 5, 80)]
 
 
+@pytest.mark.parametrize("most, window", [(1, 7), (3, 20), (40, 60)])
+def test_one_hot_burst_over_many_slices(spark, most, window):
+    """One client and a null one never pause for a window; the slices decide as one walk over all calls does."""
+    rng = np.random.default_rng(most)
+    start = datetime(2024, 1, 1)
+    seconds = {"hot": np.sort(rng.integers(0, 1500, 6000)) / 2, None: np.arange(400) * 2.5, "calm": np.arange(5) * 500.0}
+    rows, expected, i = [], {}, 0
+    for source, times in seconds.items():
+        log = []
+        for t in times.tolist():
+            log = [x for x in log if t - x < window]
+            expected[i] = (len(log) < most, 0.0 if len(log) < most else log[0] + window - t)
+            if expected[i][0]:
+                log.append(t)
+            rows.append((i, source, start + timedelta(seconds=t)))
+            i += 1
+    df = spark.createDataFrame(rows, "event_id long, source_ip string, timestamp timestamp").repartition(5)
+    out = limit_calls(df, most, window, slice_rows=250)
+    got = {r["event_id"]: (r["allowed"], r["wait_s"]) for r in out.collect()}
+    assert got == expected and not all(a for a, _ in got.values())
+
+
 def test_limits_with_repeated_ids(spark):
     df = _events(spark, REPEATS)
     for most in (1, 2, 100):
