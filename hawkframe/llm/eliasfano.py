@@ -78,17 +78,23 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value >= x; n if there is none."""
-        x = np.asarray(x, np.uint64)
-        out = np.full(len(x), self.n, np.int64)
+        return self._search(np.asarray(x, np.uint64))[0]
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value >= x (n if there is none), and whether that value is x.
+
+        The low bits are compared inside the run of values that share the high part, so equal low bits there mean x itself.
+        """
+        out, equal = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         if not self.n:
-            return out
+            return out, equal
         high = (x >> np.uint64(self.bits)).astype(np.int64)
         total = len(self.high) * 64 - self.n
         near = np.flatnonzero(high < total)
         low = x[near] & ((ONE << np.uint64(self.bits)) - ONE)
         begin, end = self._range(high[near])
         begin, end = np.minimum(begin, self.n), np.minimum(end, self.n)
-        open_ = np.flatnonzero(begin < end)
+        last, open_ = end.copy(), np.flatnonzero(begin < end)
         while len(open_):
             mid = (begin[open_] + end[open_]) >> 1
             less = unpack(self.low, self.bits, mid) < low[open_]
@@ -96,7 +102,9 @@ class EliasFano:
             end[open_] = np.where(less, end[open_], mid)
             open_ = open_[begin[open_] < end[open_]]
         out[near] = begin
-        return out
+        inside = np.flatnonzero(begin < last)
+        equal[near[inside]] = unpack(self.low, self.bits, begin[inside]) == low[inside]
+        return out, equal
 
     @functools.cached_property
     def _ones(self) -> np.ndarray:
@@ -113,12 +121,9 @@ class EliasFano:
 
     def find(self, x: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of x, or -1; with a range given, only inside it."""
-        i = self.successor(x)
-        ok = i < (self.n if end is None else end)
+        i, ok = self._search(np.asarray(x, np.uint64))
         if begin is not None:
-            ok &= i >= begin
-        hit = np.flatnonzero(ok)
-        ok[hit] = self.access(i[hit]) == np.asarray(x, np.uint64)[hit]
+            ok &= (i >= begin) & (i < end)
         return np.where(ok, i, -1)
 
     def arrays(self) -> list[np.ndarray]:

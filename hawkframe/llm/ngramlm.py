@@ -11,6 +11,7 @@ Every text is preceded and followed by the end mark; the first one is context on
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import functools
 import uuid
@@ -61,14 +62,19 @@ def by_bytes(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[list[
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different tokens, all tokens as numbers of these (each text behind and before the end mark,
     which is number 0), and where each text's leading mark stands."""
-    index = {END: 0}
-    number = index.setdefault
+    # A word not met before gets the next number.
+    index: collections.defaultdict[bytes, int] = collections.defaultdict()
+    index.default_factory = index.__len__
+    number = index.__getitem__
+    number(END)
     parts, starts, at = [], [], 0
     for text in texts:
-        codes = [number(w, len(index)) for w in lowered(text).split()]
-        parts.append(np.array([0, *codes, 0], np.int64))
+        words = lowered(text).split()
+        codes = np.zeros(len(words) + 2, np.int64)
+        codes[1:-1] = np.fromiter(map(number, words), np.int64, len(words))
+        parts.append(codes)
         starts.append(at)
-        at += len(codes) + 2
+        at += len(codes)
     hashes = np.fromiter(map(word_hash, index), np.uint64, len(index))
     return hashes, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(starts, np.int64)
 
@@ -133,12 +139,16 @@ def look_up(level: Files, keys: np.ndarray, columns: tuple[int, ...] = ()) -> li
         if pointers is not None:
             # Pointers: the context's own range, by its place relative to the file's first context.
             bits = np.uint64(int(stored[BITS][0]))
+            # Keys are sorted, so those of one context follow each other and its range is read once.
             context = ((keys[a:b] >> bits) - (level.base[f] >> bits)).astype(np.int64)
-            inside = context < pointers.n - 1
-            context = np.minimum(context, pointers.n - 2)
-            begin, end = pointers.access(context).astype(np.int64), pointers.access(context + 1).astype(np.int64)
+            first = np.r_[True, context[1:] != context[:-1]]
+            few, run = context[first], np.cumsum(first) - 1
+            inside = few < pointers.n - 1
+            few = np.minimum(few, pointers.n - 2)
+            begin, end = pointers.access(few).astype(np.int64), pointers.access(few + 1).astype(np.int64)
+            begin, end = begin[run], np.where(inside, end, begin)[run]
             found = np.full(b - a, -1, np.int64)
-            ask = np.flatnonzero(inside & (begin < end))
+            ask = np.flatnonzero(begin < end)
             found[ask] = sequence.find(local[ask], begin[ask], end[ask])
         else:
             found = sequence.find(local)
