@@ -6,8 +6,11 @@ word have reached the threshold, whatever the step, so that all lengths are coun
 enters the tally at the first shard that holds enough of it (a phrase that reaches `least` in a cycle of S shards has
 least / S in one of them, so none is missed and the tally stays small), and is complete after one full cycle of S steps.
 
-What tasks need to know of the tally are bit tables of bounded size, built by Spark: a phrase that only looks active
-there costs work and changes no count.
+What tasks need to know of the tally are bit tables of bounded size, built by Spark from what a step adds. A table keeps its
+size and only gains bits of phrases at the threshold, so a phrase that once looked active there is still seen in each later
+step: it costs work and is counted over a full cycle like any other.
+
+Counts of a shard are packed by ranges of the phrases' hashes and summed range by range; only what the tally needs becomes rows.
 """
 
 from __future__ import annotations
@@ -31,11 +34,17 @@ TOP = 2000
 # Text of one block of codes; bits of one table at most (16 MB).
 BLOCK_BYTES = 2_000_000
 MOST_BITS = 1 << 27
+# Bits of a table for each phrase that could be at the threshold.
+PHRASE_BITS = 4
+# Tokens of a shard behind one range of hashes.
+RANGE_TOKENS = 1_000_000
 NO_LANG = "und"
 W = [f"w{i}" for i in range(1, LONGEST + 1)]
 
+# Breaks become one that no word holds; what else splits a piece is white space to `split`.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
-_PIECES = bytes.maketrans(_BREAKS + b"\t", b"\n" * len(_BREAKS) + b" ")
+_BREAK = b"."
+_PIECES = bytes.maketrans(_BREAKS, _BREAK * len(_BREAKS))
 _EMITTED = ", ".join(f"{w} long" for w in W) + ", c long"
 
 
@@ -53,11 +62,11 @@ def _code_type(words: int) -> type:
 
 
 def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYTES, number: Callable = word_ids) -> DataFrame:
-    """Blocks of texts of one language: shard, lang, words (each once), ids, codes (places in ids from 1, 0 between pieces)."""
+    """Blocks of texts of one language: shard, lang, words (each once), ids, codes (places in ids from 1, 0 between pieces), tokens."""
     import pyarrow as pa
 
-    schema = "lang string, words array<binary>, ids binary, codes binary, shard int"
-    arrow = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("codes", pa.binary()), ("shard", pa.int32())])
+    schema = "lang string, words array<binary>, ids binary, codes binary, tokens long, shard int"
+    arrow = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("ids", pa.binary()), ("codes", pa.binary()), ("tokens", pa.int64()), ("shard", pa.int32())])
 
     def cut(batches):
         nth = itertools.count()
@@ -65,8 +74,8 @@ def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYT
 
         def close(lang):
             codes, out, _ = open_blocks.pop(lang)
-            words = [*codes]
-            row = {"lang": lang, "words": words, "ids": number(words, lang, seed).tobytes(), "codes": np.array(out, _code_type(len(words))).tobytes(), "shard": next(nth) % shards}
+            words = [*codes][1:]
+            row = {"lang": lang, "words": words, "ids": number(words, lang, seed).tobytes(), "codes": np.array(out, _code_type(len(words))).tobytes(), "tokens": len(out), "shard": next(nth) % shards}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
@@ -74,15 +83,12 @@ def blocks(docs: DataFrame, shards: int, seed: int, block_bytes: int = BLOCK_BYT
             for i in range(batch.num_rows):
                 lang = langs[i].as_py()
                 if lang not in open_blocks:
-                    codes: dict[bytes, int] = defaultdict(itertools.count(1).__next__)
+                    codes: dict[bytes, int] = defaultdict(itertools.count(1).__next__, {_BREAK: 0})
                     open_blocks[lang] = (codes, [0], [0])
                 codes, out, size = open_blocks[lang]
                 text = lowered(texts[i].as_py()).translate(_PIECES)
-                for piece in text.split(b"\n"):
-                    words = piece.split(b" ") if b"  " not in piece and piece[:1] != b" " and piece[-1:] != b" " else [w for w in piece.split(b" ") if w]
-                    if words and words[0]:
-                        out.extend(map(codes.__getitem__, words))
-                        out.append(0)
+                out.extend(map(codes.__getitem__, text.replace(_BREAK, b" . ").split()))
+                out.append(0)
                 size[0] += len(text)
                 if size[0] >= block_bytes:
                     yield close(lang)
@@ -160,8 +166,12 @@ def active_counts(ids: np.ndarray, codes: np.ndarray, known: Known, longest: int
             return
         first, second = group[follow], group[follow + 1]
         pair = first * len(words[0]) + second
-        names, index, inverse, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        a, b = first[index], second[index]
+        order = np.argsort(pair)
+        ranked = pair[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        begin = np.flatnonzero(new)
+        count = np.diff(begin, append=len(pair))
+        a, b = first[order[begin]], second[order[begin]]
         phrase = [w[a] for w in words] + [words[-1][b]]
         wanted = newer[a] | newer[b]
         wanted[~wanted] = known.open.get(n, _nothing()).holds([w[~wanted] for w in phrase])
@@ -170,12 +180,29 @@ def active_counts(ids: np.ndarray, codes: np.ndarray, known: Known, longest: int
             return
         at_threshold = known.reached.get(n, _nothing()).holds(phrase)
         newer = known.recent.get(n, _nothing()).holds(phrase) & at_threshold
+        inverse = np.empty(len(pair), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         here = at_threshold[inverse]
         places, group, words = places[follow][here], inverse[here], phrase
 
 
-def _count_shard(texts: DataFrame, known) -> DataFrame:
-    """Counts of active phrases of two words or more in one shard, summed per block only."""
+def add_up(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different phrases and their summed counts."""
+    h = phrase_hash(columns)
+    order = np.argsort(h)
+    ranked, words = h[order], [w[order] for w in columns]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    other = np.any([w[1:] != w[:-1] for w in words], axis=0)
+    if (other & ~new[1:]).any():  # different phrases share a hash
+        order = np.lexsort(columns)
+        words = [w[order] for w in columns]
+        new = np.r_[True, np.any([w[1:] != w[:-1] for w in words], axis=0)]
+    begin = np.flatnonzero(new)
+    return [w[begin] for w in words], np.add.reduceat(counts[order], begin)
+
+
+def _count_shard(texts: DataFrame, known, ranges: int, enough: int) -> DataFrame:
+    """Counts of active phrases of two words or more in one shard: those with `enough` there, and those being counted."""
     import pyarrow as pa
 
     def count(batches):
@@ -184,11 +211,29 @@ def _count_shard(texts: DataFrame, known) -> DataFrame:
                 ids = np.frombuffer(ids.as_buffer(), np.uint64) if ids.as_buffer().size else np.zeros(0, np.uint64)
                 codes = np.frombuffer(codes.as_buffer(), _code_type(len(ids)))
                 for phrase, counts in active_counts(ids, codes, known.value):
-                    zero = np.zeros(len(counts), np.int64)
-                    columns = [w.view(np.int64) for w in phrase] + [zero] * (LONGEST - len(phrase))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, counts.astype(np.int64)]], names=[*W, "c"])
-
-    return texts.select("ids", "codes").mapInArrow(count, _EMITTED)
+                    part = ((phrase_hash(phrase) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
+                    order = np.argsort(part, kind="stable")
+                    begin = np.searchsorted(part[order], np.arange(ranges + 1))
+                    filled = np.flatnonzero(np.diff(begin))
+                    words, counts = [w[order] for w in phrase], counts[order].astype(np.uint32)
+                    blobs = [[w[begin[r] : begin[r + 1]].tobytes() for r in filled] for w in [*words, counts]]
+                    none = [[None] * len(filled)] * (LONGEST - len(phrase))
+                    columns = [pa.array(np.full(len(filled), len(phrase), np.int32)), pa.array(filled), *[pa.array(c, pa.binary()) for c in [*blobs[:-1], *none, blobs[-1]]]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["n", "range", *W, "c"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        n = table["n"][0].as_py()
+        columns = [np.frombuffer(b"".join(table[w].to_pylist()), np.uint64) for w in W[:n]]
+        phrase, counts = add_up(columns, np.frombuffer(b"".join(table["c"].to_pylist()), np.uint32).astype(np.int64))
+        keep = counts >= enough
+        keep[~keep] = known.value.open.get(n, _nothing()).holds([w[~keep] for w in phrase])
+        counts = counts[keep]
+        zero = np.zeros(len(counts), np.int64)
+        columns = [w[keep].view(np.int64) for w in phrase] + [zero] * (LONGEST - n)
+        return pa.table([pa.array(c) for c in [*columns, counts]], names=[*W, "c"])
+
+    packed = texts.select("ids", "codes").mapInArrow(count, "n int, range long, " + ", ".join(f"{w} binary" for w in W) + ", c binary")
+    return packed.groupBy("n", "range").applyInArrow(merge, _EMITTED)
 
 
 def _count_words(texts: DataFrame) -> DataFrame:
@@ -208,12 +253,11 @@ def _count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("w1", "lang", "word").agg(F.sum("c").alias("c"))
 
 
-def _tables(marks: DataFrame, sizes: dict[tuple[str, int], int]) -> dict[str, dict[int, Bits]]:
-    """Bit tables of the phrases in `marks` (kind, n, w1..); the driver gets MOST_BITS bits a table at most, never the phrases."""
-    bits = {k: min(MOST_BITS, 1 << max(10, (16 * n - 1).bit_length())) for k, n in sizes.items() if n}
-    out: dict[str, dict[int, Bits]] = {"reached": {}, "recent": {}, "open": {}}
-    if not bits:
-        return out
+Places = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _places(marks: DataFrame, bits: int) -> dict[str, Places]:
+    """Words of bit tables, with their bits, of the phrases in `marks` (kind, n, w1..), by kind and length; the driver gets `bits` bits a table at most, never the phrases."""
 
     def place(batches):
         import pyarrow as pa
@@ -221,25 +265,35 @@ def _tables(marks: DataFrame, sizes: dict[tuple[str, int], int]) -> dict[str, di
         for batch in batches:
             kinds, lengths = batch.column("kind").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
             phrase = [batch.column(w).to_numpy().view(np.uint64) for w in W]
-            for (kind, n), size in bits.items():
-                here = (kinds == kind) & (lengths == n)
-                if here.any():
-                    at = np.unique(np.concatenate(probes(phrase_hash([w[here] for w in phrase[:n]]), size)))
-                    masks = np.uint64(1) << (at & 63).astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(at >> 6), pa.array(masks.view(np.int64))], names=["kind", "n", "at", "mask"])
-
-    set_bits = marks.mapInArrow(place, "kind string, n int, at long, mask long").groupBy("kind", "n", "at").agg(F.bit_or("mask").alias("mask"))
-    found = set_bits.toArrow()
+            for kind in ("new", "entered"):
+                for n in range(1, LONGEST + 1):
+                    here = (kinds == kind) & (lengths == n)
+                    if here.any():
+                        at = np.unique(np.concatenate(probes(phrase_hash([w[here] for w in phrase[:n]]), bits)))
+                        masks = np.uint64(1) << (at & 63).astype(np.uint64)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), pa.array(np.full(len(at), n, np.int32)), pa.array(at >> 6), pa.array(masks.view(np.int64))], names=["kind", "n", "at", "mask"])
+
+    found = marks.mapInArrow(place, "kind string, n int, at long, mask long").groupBy("kind", "n", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
     kinds, lengths = found.column("kind").to_numpy(), found.column("n").to_numpy()
     at, masks = found.column("at").to_numpy(), found.column("mask").to_numpy().view(np.uint64)
-    for (kind, n), size in bits.items():
-        table = np.zeros(size // 64, np.uint64)
-        here = (kinds == kind) & (lengths == n)
-        table[at[here]] = masks[here]
-        out[kind][n] = Bits(table)
+    out: dict[str, Places] = {"new": {}, "entered": {}}
+    for kind, by_length in out.items():
+        for n in range(1, LONGEST + 1):
+            here = (kinds == kind) & (lengths == n)
+            if here.any():
+                by_length[n] = at[here], masks[here]
     return out
 
 
+def _joined(steps: list[Places], bits: int, start: dict[int, Bits] | None = None) -> dict[int, Bits]:
+    """Tables of the phrases of several steps, on top of those of `start`."""
+    out = {n: b.table for n, b in (start or {}).items()}
+    for step in steps:
+        for n, (at, masks) in step.items():
+            out.setdefault(n, np.zeros(bits // 64, np.uint64))[at] |= masks
+    return {n: Bits(t) for n, t in out.items()}
+
+
 class SharedNumber(Exception):
     """A frequent word has the number of another word under this seed."""
 
@@ -259,10 +313,15 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, see
 
 def _count_phrases(docs: DataFrame, least: int, shards: int, seed: int, block_bytes: int, number: Callable) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    texts = durable(blocks(docs, shards, seed, block_bytes, number))
+    texts = durable(blocks(docs, shards, seed, block_bytes, number), by="shard")
+    tokens = texts.agg(F.sum("tokens")).first()[0] or 0
+    # No more phrases of a length than tokens / least reach the threshold, so tables never need to grow.
+    bits = min(MOST_BITS, 1 << max(10, (PHRASE_BITS * (tokens // least)).bit_length()))
+    ranges = max(1, -(-tokens // (shards * RANGE_TOKENS)))
     enough = -(-least // shards)
     words = tally = None
     known = Known({}, {}, {})
+    new_in, entered_in = [], []  # of each step
     for step in itertools.count():
         shard = texts.where(F.col("shard") == step % shards)
         if step < shards:
@@ -273,7 +332,7 @@ def _count_phrases(docs: DataFrame, least: int, shards: int, seed: int, block_by
         if step:
             sent = spark.sparkContext.broadcast(known)
             nothing = F.lit(None).cast("long")
-            new = _count_shard(shard, sent).select(*W, "c", nothing.alias("total"), nothing.cast("int").alias("first"), nothing.cast("int").alias("reached"))
+            new = _count_shard(shard, sent, ranges, enough).select(*W, "c", nothing.alias("total"), nothing.cast("int").alias("first"), nothing.cast("int").alias("reached"))
             if tally is not None:
                 new = new.unionByName(tally.withColumn("c", nothing))
             new = new.groupBy(*W).agg(F.sum("c").alias("c"), *[F.max(x).alias(x) for x in ("total", "first", "reached")])
@@ -288,19 +347,19 @@ def _count_phrases(docs: DataFrame, least: int, shards: int, seed: int, block_by
         if tally is not None:
             state = state.unionByName(tally.select(*W, "first", "reached"))
         n = F.when(F.col("w2") == 0, 1).when(F.col("w3") == 0, 2).when(F.col("w4") == 0, 3).otherwise(4)
-        now = step + 1
-        kinds = {
-            "reached": F.col("reached").isNotNull() & (F.col("n") < LONGEST),
-            "recent": (F.col("reached") >= now - shards) & (F.col("n") < LONGEST),
-            "open": (F.col("n") > 1) & (F.col("first") + shards > now),
-        }
+        kinds = {"new": (F.col("reached") == step) & (F.col("n") < LONGEST), "entered": (F.col("n") > 1) & (F.col("first") == step)}
         state = state.withColumn("n", n)
-        sizes = state.groupBy("n").agg(*[F.count_if(c).alias(k) for k, c in kinds.items()]).collect()  # one row a length
-        sizes = {(k, r["n"]): r[k] for r in sizes for k in kinds}
-        if now >= shards and not any(sizes.get((k, length)) for k in ("recent", "open") for length in range(1, LONGEST + 1)):
-            break
         marks = state.select(F.explode(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()])).alias("kind"), "n", *W).where("kind is not null")
-        known = Known(**_tables(marks, sizes))
+        added = _places(marks, bits)
+        new_in.append(added["new"])
+        entered_in.append(added["entered"])
+        # A phrase is new for a cycle, and counted in the step that it enters and the others of a cycle.
+        recent, open_ = new_in[-shards:], entered_in[len(entered_in) - min(shards - 1, len(entered_in)) :]
+        if step + 1 >= shards and not any(recent) and not any(open_):
+            break
+        known = Known(_joined([added["new"]], bits, known.reached), _joined(recent, bits), _joined(open_, bits))
+        if step + 1 >= shards:
+            new_in[step + 1 - shards] = entered_in[step + 1 - shards] = {}
     shared = words.groupBy("w1").agg(F.count(F.lit(1)).alias("k"), F.sum("total").alias("s")).where((F.col("k") > 1) & (F.col("s") >= least))
     if not shared.isEmpty():
         raise SharedNumber

@@ -118,6 +118,26 @@ def test_phrases_equal_plain_counts(spark, shards, block_bytes):
     assert {len(r[2].split()) for r in got} >= {2, 3} and {"en", "de", "und"} <= {r[0] for r in got}
 
 
+def test_phrases_met_before_their_words_reach_the_threshold_are_counted_in_full(spark):
+    # Some thousand rare words follow sixty common ones; a few of them look frequent in a bit table before they are.
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(200):
+        drawn = [f"common{k % 60} rare{k}" for k in rng.integers(1000, size=85).tolist()]
+        rows.append(("en", "; ".join(drawn)))
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = phrases.mine_phrases(docs, least=12, top=None, block_bytes=2000)
+    got = sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got.collect())
+    assert got == plain_phrases(rows, 12, None) and len(got) > 800
+
+
+def test_phrases_of_one_hash_are_summed_apart(monkeypatch):
+    monkeypatch.setattr(phrases, "phrase_hash", lambda columns: columns[0] % np.uint64(2))
+    a, b = np.array([4, 2, 4, 2, 3], np.uint64), np.array([1, 1, 1, 5, 1], np.uint64)
+    words, counts = phrases.add_up([a, b], np.array([1, 10, 100, 1000, 10000]))
+    assert sorted(zip(*(w.tolist() for w in words), counts.tolist(), strict=True)) == [(2, 1, 10), (2, 5, 1000), (3, 1, 10000), (4, 1, 101)]
+
+
 def test_phrases_of_nothing(spark):
     docs = odd_documents(spark)
     assert phrases.mine_phrases(docs.limit(0)).count() == 0
