@@ -34,39 +34,60 @@ COVER = (1, 5, 11, 24, 25, 27)
 SAMPLED = LENGTH - PERIOD + 1
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
+# Strings that are fingerprinted at once.
+RUN = 1 << 18
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprints(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of the strings of `length` bytes at some places; `words` are the 8 bytes from each place on."""
-    h = np.zeros(len(at), np.uint64)
-    for offset in (*range(0, length - 7, 8), length - 8):
-        h *= MUL
-        h ^= h >> np.uint64(29)
-        h += words[at + offset]
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-    return h
+    out = np.zeros(len(at), np.uint64)
+    for first in range(0, len(at), RUN):
+        h, some = out[first : first + RUN], at[first : first + RUN]
+        for offset in (*range(0, length - 7, 8), length - 8):
+            h *= MUL
+            h ^= h >> np.uint64(29)
+            h += words[some + offset]
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+    return out
+
+
+def spread(flags: np.ndarray, length: int) -> np.ndarray:
+    """Set each flag that has a set one among the last `length` ones, itself included."""
+    flags, reach = flags.copy(), 1
+    while reach < length:
+        step = min(reach, length - reach)
+        flags[step:] |= flags[:-step]
+        reach += step
+    return flags
 
 
 class Group:
-    """Texts laid end to end; `owner` numbers the different ids in order, per byte."""
+    """Texts laid end to end."""
 
     def __init__(self, ids: list[int], sizes: list[int], packed: bytes):
         import zstandard
 
         self.ids, self.sizes = ids, np.array(sizes, np.int64)
         data = zstandard.ZstdDecompressor().decompress(packed) if self.sizes.sum() else b""
-        self.data = np.frombuffer(data, np.uint8)
+        size = len(data)
+        data += bytes(8)
+        self.data = np.frombuffer(data, np.uint8)[:size]
         # One word at each byte; no string asked for reaches into the padding.
-        self.words = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), 0, (1,))
+        self.words = np.ndarray((size + 1,), "<u8", data, 0, (1,))
         self.ends = np.cumsum(self.sizes)
-        rank = np.cumsum(np.r_[0, np.diff(np.array(ids)) != 0][: len(ids)])
-        self.owner = np.repeat(rank.astype(np.int32), self.sizes)
+        self.rank = np.cumsum(np.r_[0, np.diff(np.array(ids)) != 0][: len(ids)]).astype(np.int32)
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        """The different ids numbered in order: that of the text at each place (in order)."""
+        begin = np.searchsorted(at, np.r_[0, self.ends])
+        return np.repeat(self.rank, np.diff(begin))
 
     def inside(self, at: np.ndarray, length: int) -> np.ndarray:
         """Those of the places (in order) whose strings end within their text."""
-        return at[at + length <= self.ends[np.searchsorted(self.ends, at, "right")]] if len(at) else at
+        begin = np.searchsorted(at, np.r_[0, self.ends])
+        return at[at <= np.repeat(self.ends - length, np.diff(begin))]
 
     def sample(self) -> np.ndarray:
         """Places of the cover sample."""
@@ -79,20 +100,22 @@ class Group:
         key = fingerprints(self.words, at, length) >> np.uint64(64 - bits)
         if not len(key):
             return key, *(np.zeros(0, np.int32) for _ in range(3))
-        order = np.argsort(key)
-        ranked, who = key[order], self.owner[at][order]
+        order = np.argsort(key).astype(np.int32)
+        ranked = key[order]
+        del key
         new = np.r_[True, ranked[1:] != ranked[:-1]]
-        which = np.empty(len(key), np.int32)
+        first = np.flatnonzero(new).astype(np.int32)
+        ranked = ranked[first]
+        which = np.empty(len(order), np.int32)
         which[order] = np.cumsum(new, dtype=np.int32) - 1
-        first = np.flatnonzero(new)
-        return ranked[first], which, np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+        who = self.owner(at)[order]
+        return ranked, which, np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
 
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Bitmap of the suffixes that have one of these places within PERIOD steps."""
-        near = np.zeros(len(self.data) + PERIOD + 1, np.int32)
-        near[shared + 1] = 1
-        near = np.cumsum(near, dtype=np.int32)
-        return np.packbits(near[PERIOD:-1] > near[: -PERIOD - 1])
+        near = np.zeros(len(self.data), bool)
+        near[shared] = True
+        return np.packbits(spread(near[::-1], PERIOD)[::-1])
 
     def starts(self, bitmap: bytes) -> np.ndarray:
         """Places of the suffixes of a bitmap that have LENGTH bytes in their text."""
@@ -100,10 +123,9 @@ class Group:
 
     def removed(self, starts: np.ndarray) -> list[tuple[int, int, str, list[tuple[int, int]]]]:
         """Per text: bytes, removed bytes, SHA-256 of the rest, and removed runs as [first, last)."""
-        step = np.zeros(len(self.data) + 1, np.int32)
-        step[starts] += 1
-        step[starts + LENGTH] -= 1
-        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        gone = np.zeros(len(self.data), bool)
+        gone[starts] = True
+        gone = spread(gone, LENGTH)
         out = []
         for end, size in zip(self.ends.tolist(), self.sizes.tolist(), strict=True):
             own = gone[end - size : end]
@@ -153,9 +175,10 @@ def _answers(sent: DataFrame, earlier: bool) -> DataFrame:
         lists = [_unpacked(k) for _, k in rows]
         sizes = [len(k) for k in lists]
         keys = np.concatenate(lists)
+        lists.clear()
         order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        same = np.r_[False, ranked[1:] == ranked[:-1]]
+        keys = keys[order]
+        same = np.r_[False, keys[1:] == keys[:-1]]
         bit = np.zeros(len(keys), bool)
         bit[order] = same if earlier else same | np.r_[same[1:], False]
         cut = np.split(bit, np.cumsum(sizes)[:-1])
@@ -263,7 +286,7 @@ def repeated_spans(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
     def cut(columns):
         for i in range(len(columns["g"])):
             group, start, keys, which, low, _ = suffixes(columns, i)
-            gone = (group.owner[start] > low[which]) | _bits(columns["late"][i], keys, bits, parts)[which]
+            gone = (group.owner(start) > low[which]) | _bits(columns["late"][i], keys, bits, parts)[which]
             made = group.removed(start[gone])
             yield {
                 "doc_id": group.ids,

@@ -180,3 +180,25 @@ def test_slots_of_the_mix_fill_its_shards(spark):
     assert share.iloc[:-1].nunique() > 3 and abs(share.iloc[:-1].mean() - 900 / 1050) < 0.05
     used = rows[rows.source == "a"].groupby("block").size()
     assert len(used) == 500 and used.min() == 1 and used.max() == 2
+
+
+def test_a_group_of_texts_takes_few_bytes_for_each_of_its_own():
+    import tracemalloc
+
+    import zstandard
+
+    size = 1 << 20
+    text = np.random.default_rng(0).integers(97, 123, size, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    group = suffixdedup.Group([*range(16)], [size // 16] * 16, zstandard.ZstdCompressor().compress(text))
+    starts = group.starts(group.candidates(np.arange(0, size - 100, 40)).tobytes())
+    keys, *_ = group.keys(starts, suffixdedup.LENGTH, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(keys) > size // 2 and peak < 46 * size
+
+
+def test_flags_spread_over_the_places_behind():
+    flags = np.random.default_rng(1).random(500) < 0.02
+    for length in (1, 2, 31, 50):
+        assert suffixdedup.spread(flags, length).tolist() == [bool(flags[max(0, i - length + 1) : i + 1].any()) for i in range(500)]
