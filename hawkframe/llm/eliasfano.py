@@ -7,6 +7,9 @@ import functools
 import numpy as np
 
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+# One in each byte of a word, and the place of the n-th set bit of a byte at 8 * byte + n.
+BYTES = np.uint64(0x0101010101010101)
+IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[n] for b in range(256) for n in range(8)], np.int64)
 
 
 def pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -37,14 +40,15 @@ def unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
 
 def _nth_one(word: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place of the n-th (from 0) set bit of each word."""
-    place, n = np.zeros(len(word), np.uint64), n.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        w = np.uint64(width)
-        below = np.bitwise_count((word >> place) & ((ONE << w) - ONE)).astype(np.uint64)
-        go = below <= n
-        n = np.where(go, n - below, n)
-        place = np.where(go, place + w, place)
-    return place.astype(np.int64)
+    n = n.astype(np.uint64)
+    # Each byte of `ones`: the set bits of the word up to its end.
+    ones = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * BYTES
+    # Bytes that end before the n-th set bit keep their top bit.
+    top = BYTES << np.uint64(7)
+    place = np.bitwise_count((n * BYTES | top) - ones & top).astype(np.uint64) << np.uint64(3)
+    n -= ((ones << np.uint64(8)) >> place) & np.uint64(255)
+    byte = (word >> place) & np.uint64(255)
+    return place.astype(np.int64) + IN_BYTE[(byte << np.uint64(3) | n & np.uint64(7)).astype(np.int64)]
 
 
 class EliasFano:
@@ -73,8 +77,14 @@ class EliasFano:
 
     def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index range of the values with these high parts (within the sequence's own)."""
-        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) - (high - 1), 0)
-        return begin, self._zero(high) - high
+        after = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1, 0)
+        begin = after - high
+        # The values are the ones up to the next zero, which mostly stands in the same word.
+        rest = ~self.high[after >> 6] >> (after & 63).astype(np.uint64)
+        end = begin + np.bitwise_count((rest & (~rest + ONE)) - ONE)
+        far = np.flatnonzero(rest == 0)
+        end[far] = self._zero(high[far]) - high[far]
+        return begin, end
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first value >= x; n if there is none."""

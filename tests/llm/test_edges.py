@@ -202,3 +202,19 @@ def test_flags_spread_over_the_places_behind():
     flags = np.random.default_rng(1).random(500) < 0.02
     for length in (1, 2, 31, 50):
         assert suffixdedup.spread(flags, length).tolist() == [bool(flags[max(0, i - length + 1) : i + 1].any()) for i in range(500)]
+
+
+def test_a_search_finds_one_zero_for_each_value_asked(monkeypatch):
+    values = np.unique(np.random.default_rng(3).integers(0, 1 << 40, 20_000).astype(np.uint64))
+    sequence, asked = eliasfano.EliasFano.of(values), []
+    zero = eliasfano.EliasFano._zero
+    monkeypatch.setattr(eliasfano.EliasFano, "_zero", lambda self, k: asked.append(len(k)) or zero(self, k))
+    assert (sequence.find(values) == np.arange(len(values))).all() and (sequence.find(values + np.uint64(1)) < 0).sum() > 19_000
+    assert sum(asked) < 1.2 * 2 * len(values)
+
+
+def test_set_bits_of_a_word_are_found_by_number():
+    words = np.array([1, 1 << 63, (1 << 64) - 1, 0x8000000100000001, 0x00FF00000000FF00], np.uint64)
+    for w in words:
+        bits = [k for k in range(64) if int(w) >> k & 1]
+        assert eliasfano._nth_one(np.full(len(bits), w), np.arange(len(bits))).tolist() == bits
