@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hawkframe.llm.common import durable, lowered, map_batches
-from hawkframe.llm.components import components
+from hawkframe.llm.components import components, counted, linked
 
 SHINGLE = 5
 TREES, DEPTH = 24, 4
@@ -264,17 +264,16 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = pairs.select(F.col("a").alias("x"), "a", "b", "agreement").union(pairs.select(F.col("b").alias("x"), "a", "b", "agreement"))
     nth = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("agreement"), "a", "b"))
     best = both.withColumn("_n", nth).where(F.col("_n") <= BEST).select("a", "b").distinct()
-    links = durable(confirmed(best, sets))
-    labels = components(links)
+    labels = components(durable(confirmed(best, sets)))
     of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
     rest = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
-    links = durable(links.union(confirmed(rest, sets)))
-    labels = components(links)
-    open_ = durable(unsettled(crowded, labels))
-    if open_.limit(1).count():
+    # Further links change the labels only where they join two components.
+    labels = linked(labels, confirmed(rest, sets))
+    open_, crowd = counted(unsettled(crowded, labels), "true")
+    if crowd:
         sets = durable(full_sets(docs, classes.select("node", "rep").join(open_, "node", "left_semi")))
-        labels = components(links.union(confirmed(durable(rare_partners(sets, open_)), sets)))
+        labels = linked(labels, confirmed(durable(rare_partners(sets, open_)), sets))
     return every, classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

@@ -208,8 +208,22 @@ def train(docs: DataFrame, labels: DataFrame, texts_per_class: int = SAMPLE_TEXT
         chosen = part if chosen is None else chosen.unionByName(part)
     # Bounded by texts_per_class, so the ids go to the scan and the texts are not shuffled.
     wanted = F.broadcast(chosen.select("doc_id", "toxic"))
-    rows = usable.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * texts_per_class).toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    rows = usable.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(2 * texts_per_class)
+
+    def learn(batches):
+        import pyarrow as pa
+
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        if texts:
+            model = fit(texts, toxic)
+            yield pa.RecordBatch.from_pydict({"logit": [model.logit.tobytes()], "bias": [model.bias]})
+
+    # The rows come in one ordered partition; its task fits, and the driver gets the shares of the buckets only.
+    made = rows.select("text", "toxic").mapInArrow(learn, "logit binary, bias double").collect()
+    return Model(np.frombuffer(made[0]["logit"], np.float32), made[0]["bias"]) if made else fit([], [])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
