@@ -11,7 +11,6 @@ Every text is preceded and followed by the end mark; the first one is context on
 
 from __future__ import annotations
 
-import collections
 import dataclasses
 import functools
 import uuid
@@ -62,21 +61,26 @@ def by_bytes(texts: list[str | None], most: int = BATCH_BYTES) -> Iterator[list[
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different tokens, all tokens as numbers of these (each text behind and before the end mark,
     which is number 0), and where each text's leading mark stands."""
-    # A word not met before gets the next number.
-    index: collections.defaultdict[bytes, int] = collections.defaultdict()
-    index.default_factory = index.__len__
-    number = index.__getitem__
-    number(END)
-    parts, starts, at = [], [], 0
-    for text in texts:
-        words = lowered(text).split()
-        codes = np.zeros(len(words) + 2, np.int64)
-        codes[1:-1] = np.fromiter(map(number, words), np.int64, len(words))
-        parts.append(codes)
-        starts.append(at)
-        at += len(codes)
-    hashes = np.fromiter(map(word_hash, index), np.uint64, len(index))
-    return hashes, np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(starts, np.int64)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # Arrow splits bytes at \x20 and \x09 to \x0D, and numbers the words in order of first use.
+    lines = pa.array([lowered(t) for t in texts], pa.large_binary()).view(pa.large_string())
+    split = pc.ascii_split_whitespace(lines)
+    n, words = np.diff(split.offsets.to_numpy()).astype(np.int64), split.flatten()
+    # White space at the ends of a text leaves empty words.
+    empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+    if len(empty):
+        n -= np.bincount(np.searchsorted(split.offsets.to_numpy(), empty, "right") - 1, minlength=len(n))
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    del lines, split
+    coded = words.dictionary_encode()
+    del words
+    starts = np.cumsum(n + 2) - (n + 2)
+    codes = np.zeros(int((n + 2).sum()), np.int64)
+    codes[np.arange(len(coded)) + np.repeat(2 * np.arange(len(n)) + 1, n)] = coded.indices.to_numpy() + 1
+    different = coded.dictionary.view(pa.large_binary()).to_pylist()
+    return np.fromiter(map(word_hash, [END, *different]), np.uint64, len(different) + 1), codes, starts
 
 
 def _squeeze(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -115,7 +119,7 @@ def _mapped(root: str, path: str) -> tuple[EliasFano, EliasFano | None, list[np.
 
     fs, _ = FileSystem.from_uri(root)
     if isinstance(fs, LocalFileSystem):
-        buffer = np.memmap(path, np.uint8, "r")
+        buffer = np.asarray(np.memmap(path, np.uint8, "r"))
     else:
         with fs.open_input_file(path) as f:
             buffer = np.frombuffer(f.read_buffer(), np.uint8)
@@ -207,12 +211,12 @@ class Model:
         asked = np.flatnonzero((before >= 0) & (word >= 0))
         return before, (before[asked].astype(np.uint64) << np.uint64(self.bits)) | word[asked].astype(np.uint64), asked
 
-    def find(self, context: np.ndarray, word: np.ndarray, starts: np.ndarray, n: int):
-        """Of each token: place of the context before it, place in level n (-1: none), its chance and back-off bytes."""
+    def find(self, context: np.ndarray, word: np.ndarray, starts: np.ndarray, n: int, columns: tuple[int, ...] = ()):
+        """Of each token: place of the context before it, place in level n (-1: none), and the bytes of the columns there."""
         before, key, asked = self.step(context, word, starts, n)
         unique, inverse = np.unique(key, return_inverse=True)
-        found = look_up(self.levels[n - 1], unique, (CHANCE, BACK))
-        out = [np.full(len(word), -1, np.int64), np.zeros(len(word), np.uint8), np.zeros(len(word), np.uint8)]
+        found = look_up(self.levels[n - 1], unique, columns)
+        out = [np.full(len(word), -1, np.int64), *[np.zeros(len(word), np.uint8) for _ in columns]]
         for full, part in zip(out, found, strict=True):
             full[asked] = part[inverse]
         return before, *out
@@ -255,7 +259,7 @@ class Model:
         base[starts] = 0
         full, context, back = base.copy(), word, np.log10(MU / (count + MU))
         for n in range(2, len(self.levels) + 1):
-            before, context, chance, next_back = self.find(context, word, starts, n)
+            before, context, chance, next_back = self.find(context, word, starts, n, (CHANCE, BACK))
             full = np.where(before >= 0, full + np.concatenate([[0.0], back[:-1]]), full)
             full = np.where(context >= 0, -STEP * chance, full)
             back = -STEP * next_back.astype(float)
@@ -307,8 +311,10 @@ def _level(blobs: DataFrame, folder: str, bits: int, model: Model | None, file_t
         pieces = [_spread(k, c) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)]
         keys = np.concatenate([k for k, _ in pieces])
         counts = np.concatenate([c for _, c in pieces]).astype(np.int64)
+        del pieces
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
+        del order
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, counts = keys[first], np.add.reduceat(counts, first)
         base = (keys[0] >> np.uint64(bits)) << np.uint64(bits) if bits else keys[0]

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from hawkframe.llm import components, toxicity
+from hawkframe.llm import components, ngramlm, toxicity
 
 
 def test_the_classifier_is_fitted_by_a_task(spark, monkeypatch):
@@ -38,3 +38,17 @@ def test_links_added_to_components(spark, seed):
     assert {r.node: r.label for r in same.collect()} == {r.node: r.label for r in labels.collect()}
     none = components.components(frame([]))
     assert none.count() == 0 and components.linked(none, frame([])).count() == 0
+
+
+def test_tokens_of_all_kinds_of_space(monkeypatch):
+    calls = []
+    monkeypatch.setattr(ngramlm, "word_hash", lambda word: calls.append(word) or len(calls) - 1)
+    texts = [None, "", "  \t", " Ab\x0bab\x1cÄ ab\u00a0c\n", "x" + "".join(map(chr, range(1, 128))), "ab\ud800 \x85 AB", "\u2003ab ab"]
+    hashes, codes, starts = ngramlm.tokens(texts)
+    ends = [*starts[1:].tolist(), len(codes)]
+    want = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    for a, b, words in zip(starts.tolist(), ends, want, strict=True):
+        assert codes[a] == codes[b - 1] == 0
+        assert [calls[c] for c in codes[a + 1 : b - 1]] == words
+    assert len(hashes) == len(calls) == len({w for words in want for w in words}) + 1
+    assert [len(x) for x in ngramlm.tokens([])] == [1, 0, 0]
