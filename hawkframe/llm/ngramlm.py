@@ -1,8 +1,8 @@
 """Language-model scores from an n-gram trie in Elias-Fano levels.
 
 Level 1 holds the word hashes with exact counts; a word's number is its place there. Level n holds the pairs
-(place of the context in level n-1, word) as one monotone sequence, searched inside the context's own range, which a
-monotone sequence of pointers gives. Each n-gram has its smoothed log10 probability and its context's back-off
+(place of the context in level n-1, word) as one monotone sequence, so the entries of a context stand together and a pair
+is found by its whole key. Each n-gram has its smoothed log10 probability and its context's back-off
 in a byte each. Levels are cut into files of contiguous keys in the shared folder and memory-mapped by the tasks.
 
 P(w | c) = (count(c w) + MU P(w | shorter c)) / (count(c) + MU), and P(w) = (count(w) + 0.5) / (N + 0.5 (V + 1)).
@@ -114,7 +114,7 @@ class Files:
 
 
 @functools.lru_cache(maxsize=512)
-def _mapped(root: str, path: str) -> tuple[EliasFano, EliasFano | None, list[np.ndarray]]:
+def _mapped(root: str, path: str) -> tuple[EliasFano, list[np.ndarray]]:
     from pyarrow.fs import FileSystem, LocalFileSystem
 
     fs, _ = FileSystem.from_uri(root)
@@ -124,9 +124,7 @@ def _mapped(root: str, path: str) -> tuple[EliasFano, EliasFano | None, list[np.
         with fs.open_input_file(path) as f:
             buffer = np.frombuffer(f.read_buffer(), np.uint8)
     arrays = from_buffer(buffer)
-    stored = arrays[4:]
-    pointers = EliasFano.from_arrays(*stored[POINTERS:COUNT]) if len(stored) > POINTERS else None
-    return EliasFano.from_arrays(*arrays[:4]), pointers, stored
+    return EliasFano.from_arrays(*arrays[:4]), arrays[4:]
 
 
 def look_up(level: Files, keys: np.ndarray, columns: tuple[int, ...] = ()) -> list[np.ndarray]:
@@ -138,24 +136,9 @@ def look_up(level: Files, keys: np.ndarray, columns: tuple[int, ...] = ()) -> li
     which = np.searchsorted(level.first_key, keys, "right") - 1
     for f in np.unique(which[which >= 0]).tolist():
         a, b = np.searchsorted(which, [f, f + 1])
-        sequence, pointers, stored = _mapped(level.root, level.paths[f])
-        local = keys[a:b] - level.base[f]
-        if pointers is not None:
-            # Pointers: the context's own range, by its place relative to the file's first context.
-            bits = np.uint64(int(stored[BITS][0]))
-            # Keys are sorted, so those of one context follow each other and its range is read once.
-            context = ((keys[a:b] >> bits) - (level.base[f] >> bits)).astype(np.int64)
-            first = np.r_[True, context[1:] != context[:-1]]
-            few, run = context[first], np.cumsum(first) - 1
-            inside = few < pointers.n - 1
-            few = np.minimum(few, pointers.n - 2)
-            begin, end = pointers.access(few).astype(np.int64), pointers.access(few + 1).astype(np.int64)
-            begin, end = begin[run], np.where(inside, end, begin)[run]
-            found = np.full(b - a, -1, np.int64)
-            ask = np.flatnonzero(begin < end)
-            found[ask] = sequence.find(local[ask], begin[ask], end[ask])
-        else:
-            found = sequence.find(local)
+        sequence, stored = _mapped(level.root, level.paths[f])
+        # A key holds its context's place, so only an entry of that context equals it.
+        found = sequence.find(keys[a:b] - level.base[f])
         hit = np.flatnonzero(found >= 0)
         place[a:b][hit] = found[hit] + level.first_place[f]
         for k, c in enumerate(columns):
@@ -171,14 +154,14 @@ def at_places(level: Files, places: np.ndarray, column: int | None) -> np.ndarra
     which = np.searchsorted(level.first_place, places, "right") - 1
     for f in np.unique(which).tolist():
         rows = np.flatnonzero(which == f)
-        sequence, _, stored = _mapped(level.root, level.paths[f])
+        sequence, stored = _mapped(level.root, level.paths[f])
         local = places[rows] - level.first_place[f]
         out[rows] = sequence.access(local) + level.base[f] if column is None else stored[column][local]
     return out
 
 
-# Stored columns of level 1, and of the others (between them: bits of a word, and the pointers' arrays).
-COUNT_1, CHANCE, BACK, BITS, POINTERS, COUNT = 0, 0, 1, 2, 3, 7
+# Stored columns of level 1, and of the others.
+COUNT_1, CHANCE, BACK, COUNT = 0, 0, 1, 2
 
 
 @dataclasses.dataclass(frozen=True)
@@ -325,9 +308,7 @@ def _level(blobs: DataFrame, folder: str, bits: int, model: Model | None, file_t
             context, word = (keys >> np.uint64(bits)).astype(np.int64), keys & np.uint64((1 << bits) - 1)
             lower, above = model.chances(context, word.astype(np.int64))
             chance = (counts + MU * lower) / (above + MU)
-            relative = context - int(base >> np.uint64(bits))
-            pointers = np.searchsorted(relative, np.arange(relative[-1] + 2))
-            stored += [quantised(np.log10(chance)), quantised(np.log10(MU / (counts + MU))), np.array([bits]), *EliasFano.of(pointers).arrays(), _narrow(counts)]
+            stored += [quantised(np.log10(chance)), quantised(np.log10(MU / (counts + MU))), _narrow(counts)]
         row = {"part": int(table["part"][0].as_py()), "path": _write(folder, stored), "first": int(keys[0]), "base": int(base), "size": len(keys), "total": int(counts.sum()), "cuts": _cuts(counts, file_tokens)}
         return pa.Table.from_pylist([row], schema=schema)
 

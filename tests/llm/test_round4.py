@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from hawkframe.llm import components, ngramlm, toxicity
+from hawkframe.llm import components, eliasfano, ngramlm, toxicity
 
 
 def test_the_classifier_is_fitted_by_a_task(spark, monkeypatch):
@@ -52,3 +52,14 @@ def test_tokens_of_all_kinds_of_space(monkeypatch):
         assert [calls[c] for c in codes[a + 1 : b - 1]] == words
     assert len(hashes) == len(calls) == len({w for words in want for w in words}) + 1
     assert [len(x) for x in ngramlm.tokens([])] == [1, 0, 0]
+
+
+def test_a_look_up_reads_only_the_sequence_of_its_level(spark, monkeypatch):
+    texts = [f"w{i % 7} w{i % 5} w{i % 3} w{i % 11}" for i in range(200)]
+    model = ngramlm.train(spark.createDataFrame([(t,) for t in texts], "text string"), 3, file_tokens=100)
+    assert len(model.levels[2].paths) > 1
+    keys = ngramlm.at_places(model.levels[2], np.arange(model.levels[2].size), None)
+    monkeypatch.setattr(eliasfano.EliasFano, "access", lambda *a: 1 / 0)
+    absent = np.setdiff1d(np.concatenate([keys + np.uint64(1), keys[1:] - np.uint64(1)]), keys)
+    assert (ngramlm.look_up(model.levels[2], keys)[0] == np.arange(len(keys))).all()
+    assert (ngramlm.look_up(model.levels[2], absent)[0] == -1).all()
