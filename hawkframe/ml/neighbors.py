@@ -191,7 +191,7 @@ class _Search:
             hits = self._hits(np.float32, part, points)
             if len(hits) > 8 * self.need * len(part):
                 hits = self._hits(np.float64, part, points)
-            few = max(1, _CELLS_IN_MEMORY // y.shape[1])
+            few = max(1, _CELLS_COMPARED // 4 // y.shape[1])
             for j in range(0, len(hits), few):
                 row, p = np.divmod(hits[j : j + few], len(y))
                 row = part[row]
@@ -200,7 +200,7 @@ class _Search:
                 ok = dist <= self.limit[row]
                 row, p, dist = row[ok], p[ok], dist[ok]
                 self.new.append((row, dist, none[p], key[p], weight[p]))
-            if sum(len(n[0]) for n in self.new) > _CELLS_COMPARED // 4:
+            if sum(len(n[0]) for n in self.new) > _CELLS_COMPARED // 16:
                 self._merge()
 
     def _hits(self, kind: type, rows: np.ndarray, points: _Augmented) -> np.ndarray:
@@ -309,7 +309,7 @@ class NeighborIndex:
         weight = self.blocks["weight"].to_numpy()
 
         def of(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            step = max(1, _CELLS_IN_MEMORY // max(1, len(cell)))
+            step = max(1, _CELLS_COMPARED // 4 // max(1, len(cell)))
             for i in range(0, len(x), step):
                 d = _distances(x[i : i + step], centre)[:, cell]
                 far = d + high

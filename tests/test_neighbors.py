@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hawkframe.ml.detector import AnomalyDetector
 from hawkframe.ml.neighbors import NeighborIndex, _Search, distinct_points
 from hawkframe.session import ensure_checkpoint_dir
 
@@ -80,3 +81,38 @@ def test_products_rule_out_no_neighbour(scale, offset):
         for i in range(60):
             true = np.lexsort((np.arange(900), d[i]))[:8]
             assert sorted(d[i][[r["pid"] for r in rows if r["qid"] == i]]) == pytest.approx(d[i][true].tolist())
+
+
+def test_detector_counts_in_a_session_without_arrow(spark):
+    """The members' counts of `anomaly_stats` and `anomaly_flags`; every query visits every block, and nothing is written per visit."""
+    names = {"spark.sql.execution.arrow.pyspark.enabled": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {name: spark.conf.get(name) for name in names}
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    x = np.random.default_rng(8).normal(size=(2500, 24)) * np.arange(1, 25)
+    before = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        df = _frame(spark, x)
+        model = AnomalyDetector().fit(df, trees=5, samples=64, k=5)
+        got = model.training_stats(df).first()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert sum(f.stat().st_size for f in folder.rglob("*.parquet")) - before < 2500 * 24 * 8 * 12
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = np.sqrt(np.maximum((z**2).sum(1)[:, None] + (z**2).sum(1) - 2 * z @ z.T, 0.0))
+
+    def factors(own, lrd, kd):
+        e = d.copy()
+        np.fill_diagonal(e, 0.0 if own else np.inf)
+        near = np.argsort(e, axis=1, kind="stable")[:, :5]
+        dist = np.take_along_axis(e, near, axis=1)
+        kd = dist[:, -1] if kd is None else kd
+        mine = 1 / (np.maximum(dist, kd[near]).mean(axis=1) + 1e-10)
+        return mine, kd, (mine if lrd is None else lrd)[near].mean(axis=1) / mine
+
+    lrd, kd, train = factors(False, None, None)
+    assert model.lof.offset == pytest.approx(np.percentile(-train, 2), rel=1e-6)
+    again = factors(True, lrd, kd)[2]
+    assert got["lof_anomalies"] == (-again < model.lof.offset).sum() > 0
